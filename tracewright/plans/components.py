@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.plans.storage import discard, materialize
+from tracewright.plans.storage import discard, materialize, observed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,12 +35,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     state = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     current = materialize(state, "star")
     mark = None
+    key = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
     for _ in range(max_rounds):
-        nxt = materialize(_small_star(_large_star(current)), "star")
+        nxt, now = observed(_small_star(_large_star(current)), "star", *key)
         discard(current)
         current = nxt
-        row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        now = (row["n"], row["h"])
         if now == mark:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back with the lineage cut."""
+    return observed(df, label)[0]
+
+
+def observed(df: DataFrame, label: str, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """As :func:`materialize`, with aggregates of the rows that the write itself takes: no job of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewright/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if aggregates else None
+    (df.observe(seen, *aggregates) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewright_path = path
-    return out
+    return out, seen.get if seen else {}
 
 
 def discard(df: DataFrame) -> None:
