@@ -30,7 +30,7 @@ def kappa(rows: DataFrame) -> DataFrame:
     out = rows.agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("po"), F.avg("a").alias("pa"), F.avg("b").alias("pb"))
     pe = F.col("pa") * F.col("pb") + (1 - F.col("pa")) * (1 - F.col("pb"))
     sure = F.abs(1 - pe) < 1e-12
-    return out.select(F.when(sure, F.when(F.col("po") == 1, 1.0).otherwise(0.0)).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"))
+    return out.select(F.when(sure, F.when(F.col("po") == 1, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col("po") - pe, 1 - pe)).alias("kappa"))
 
 
 def _average_rank(rows: DataFrame, col: str) -> DataFrame:
@@ -43,7 +43,9 @@ def _average_rank(rows: DataFrame, col: str) -> DataFrame:
 def spearman(rows: DataFrame) -> DataFrame:
     """Rank correlation of ``(x, y)``; NaN without variance."""
     ranked = rows.join(_average_rank(rows, "x"), "x").join(_average_rank(rows, "y"), "y")
-    return ranked.agg(F.corr("rank_x", "rank_y").alias("rho"))
+    spread = F.stddev_pop("rank_x") * F.stddev_pop("rank_y")
+    rho = F.try_divide(F.covar_pop("rank_x", "rank_y"), spread)
+    return ranked.agg(F.coalesce(rho, F.lit(float("nan"))).alias("rho"))
 
 
 def state_flips(rows: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def agentic_search(question: str, decide: Callable[[str, list], dict], retrieve:
             out.answer = step["answer"]
             return out
         out.queries.append(step["query"])
-        out.seen += [c for c in retrieve(step["query"]) if c not in out.seen]
+        out.seen += [c for c in dict.fromkeys(retrieve(step["query"])) if c not in out.seen]
     return out
 
 

@@ -22,13 +22,18 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return reader.parquet(path)
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event times without a zone are read in the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def first_arrivals(stream: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
     """One row a key within the watermark; state for older keys is dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str, delay: str = "10 minutes") -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
+    return _timed(stream, time).withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
 
 
 def run_once(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
