@@ -85,6 +85,10 @@ def _join_spans(spans: Column, names: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: Column, number: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def scan_secrets(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -127,9 +131,8 @@ def scan_secrets(
         F.max("repositories").cast("long").alias("most_repositories"),
     )
     names = F.array(*[F.lit(k.name) for k in kinds])
-    number = {k.name: i for i, k in enumerate(kinds)}
     base = F.filter("found", lambda s: F.get(F.array(*[F.lit(k.base) for k in kinds]), s["kind"]))
-    counts = [F.size(F.filter("found", lambda s, i=number[k.name]: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for k in kinds if k.base]
+    counts = [_count(F.col("found"), i).alias(f"n_{k.name}") for i, k in enumerate(kinds) if k.base]
     out = docs.join(rows, "row", "left")
     return out.select(
         "doc_id", *counts, F.sha2(_join_spans(base, names), 256).alias("base_sha256"),
