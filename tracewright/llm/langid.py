@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,8 +177,6 @@ def identify(df: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
 
 def keep_identified(df: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the model does not reject, with their columns as they are."""
-    import pandas as pd
-
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
