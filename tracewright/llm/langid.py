@@ -2,7 +2,7 @@
 
 Texts become TF-IDF vectors of character 1- to 3-grams of their letters, normalised to length one. Each
 language has several centroids, found by spherical k-means; a text gets the language of the centroid with
-the greatest cosine, and is rejected where it lies much farther out than that centroid's own members.
+the greatest cosine, and is rejected where it lies much farther out than any of that language's members.
 """
 
 from __future__ import annotations
@@ -16,15 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import map_arrow, table
-from tracewright.plans.shipping import ship_package
+from tracewright.llm.common import map_arrow, prepare_workers, table
 
 DIMENSIONS = 8192
 CENTROIDS, ROUNDS = 4, 12
 #: The bound of the labelled sample that the centroids are fitted on, and of the languages in it.
 SAMPLE_ROWS, MAX_LANGUAGES = 2000, 100
-#: A text is rejected below this share of the least cosine that a centroid has with its own members.
-REJECT_SHARE = 0.5
+#: A text is rejected below this share of the least cosine that any of a language's centroids has with its members.
+REJECT_SHARE = 0.3
 UNKNOWN = "und"
 _SPACE = 32
 _letters: np.ndarray | None = None
@@ -88,13 +87,13 @@ class Centroids:
 
 
 def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids and each row's centroid; starts from rows far from each other, so no chance is used."""
-    picked = [int((rows @ _unit(rows.mean(axis=0))).argmax())]
-    nearest = rows @ rows[picked[0]]
-    while len(picked) < min(k, len(rows)):
-        picked.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, rows @ rows[picked[-1]])
-    centres = rows[picked]
+    """Unit centroids and each row's centroid.
+
+    Starts from the means of k equal slices of the rows ordered by their cosine with the overall mean, so
+    no chance is used and no single odd row becomes a start.
+    """
+    order = np.argsort(-(rows @ _unit(rows.mean(axis=0))), kind="stable")
+    centres = np.stack([_unit(rows[part].mean(axis=0)) for part in np.array_split(order, min(k, len(rows)))])
     for _ in range(rounds):
         member = (rows @ centres.T).argmax(axis=1)
         centres = np.stack([_unit(rows[member == c].mean(axis=0)) if (member == c).any() else centres[c] for c in range(len(centres))])
@@ -148,12 +147,11 @@ def fit_centroids(
     for number, lang in enumerate(languages):
         own = matrix[labels == lang]
         centres, member = spherical_kmeans(own, CENTROIDS)
-        for c in range(len(centres)):
-            mine = own[member == c]
-            if len(mine):
-                vectors.append(centres[c])
-                owner.append(number)
-                least.append(float((mine @ centres[c]).min()))
+        used = [c for c in range(len(centres)) if (member == c).any()]
+        reach = min(float((own[member == c] @ centres[c]).min()) for c in used)
+        vectors += [centres[c] for c in used]
+        owner += [number] * len(used)
+        least += [reach] * len(used)
     return Centroids(languages, idf, np.array(vectors, np.float32).reshape(-1, DIMENSIONS), np.array(owner, int), np.array(least))
 
 
@@ -177,7 +175,7 @@ def identify(df: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
 
 def keep_identified(df: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the model does not reject, with their columns as they are."""
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
