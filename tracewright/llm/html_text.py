@@ -46,7 +46,7 @@ LENGTH_POINT, BONUS = 100, {"article": 25.0, "main": 25.0}
 FADE = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SIBLING_SHARE, SIBLING_LINKS = 0.2, 0.25
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?|[^<]+|<", re.S)
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)>?|[^<]+|<", re.S)
 _named = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _word = re.compile(r"[a-z]+")
 
@@ -199,9 +199,8 @@ def extract_main_text(page: str | None) -> str:
     if best.parent is not None and best.tag not in ("body", "html"):
         for other in best.parent.parts:
             if isinstance(other, _Node) and other is not best and not other.skip and other.size:
-                like = other.score >= most * SIBLING_SHARE and other.tag in ("article", "main", "section", best.tag)
-                reads = other.tag == "p" and other.linked <= SIBLING_LINKS * other.size
-                if like or reads:
+                like = other.tag == "p" or other.score >= most * SIBLING_SHARE and other.tag in ("article", "main", "section", best.tag)
+                if like and other.linked <= SIBLING_LINKS * other.size:
                     kept.append(other)
         order = {id(x): k for k, x in enumerate(best.parent.parts) if isinstance(x, _Node)}
         kept.sort(key=lambda x: order[id(x)])
