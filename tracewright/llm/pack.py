@@ -29,7 +29,7 @@ BATCH_WINDOWS = 64
 TARGET_FILL = 0.99
 #: Lengths to which tails are cut, tried in this order.
 PIECE_LIMITS = (256, 128, 64)
-CACHED_WORDS, CACHED_CHARS = 300_000, 64
+CACHED_WORDS, CACHED_CHARS = 150_000, 64
 VOCABULARY = "byte_bpe_50k"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
