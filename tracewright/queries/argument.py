@@ -140,7 +140,7 @@ def gate_decisions(spark, sf_dir):
 )
 def held_refutations(spark, sf_dir):
     panel = _panel(spark, sf_dir)
-    prior = panel.where("hypothesis % 2 = 0").select("hypothesis", F.lit("supported").alias("state"))
+    prior = panel.select("hypothesis", F.when(F.col("hypothesis") % 2 == 0, "supported").otherwise("unsupported").alias("state"))
     held = A.hold_refutations(panel.select("hypothesis", "acceptability", "state"), panel, prior)
     return held.select("hypothesis", "state", "pending_refutation")
 
@@ -235,13 +235,14 @@ def opinion_fusion_averaging(spark, sf_dir):
 
 @query()
 def revision_fixpoint(spark, sf_dir):
-    """The revision loop over derived orders: what is left standing once refutations are carried through."""
+    """The revision loop over orders derived from first orders: what is left standing once refutations are carried through."""
     base, body = (materialize(df, "revision") for df in V.derivations(spark, sf_dir))
     ev = V.evidence(spark, sf_dir)
     hyps = V.hypotheses(spark, sf_dir)
     facts = ev.select(F.col("fact").alias("node"), F.col("base").alias("confidence"))
     grounded = base.select(F.col("node").cast("string").alias("node"), "confidence").union(facts)
-    rules = body.where("head % 50 = 0").select(*[F.col(c).cast("string").alias(c) for c in ("rule", "head", "atom")], "strength")
+    body = body.join(base.select(F.col("node").alias("atom")), "atom", "left_semi")
+    rules = body.select(*[F.col(c).cast("string").alias(c) for c in ("rule", "head", "atom")], "strength")
     hyp = hyps.select(F.col("hypothesis").cast("string").alias("hypothesis"), "base")
     edges = ev.select(F.col("fact").alias("src"), F.col("hypothesis").cast("string").alias("dst"), "sign", "strength")
     gate = _panel(spark, sf_dir).select(F.col("hypothesis").cast("string").alias("hypothesis"), "llm", "symbolic")
@@ -249,8 +250,8 @@ def revision_fixpoint(spark, sf_dir):
     return out.verdicts.groupBy("state").agg(F.count("*").alias("hypotheses"), F.round(F.avg("acceptability"), 6).alias("mean_acceptability"))
 
 
-SYMBOLIC = """facts AS (SELECT label % 3 AS query, 'k' || (vec_id % 40) AS key, CASE WHEN vec_id % 7 = 0 THEN '-' ELSE '+' END AS polarity FROM embeddings WHERE vec_id % 2 = 0),
-refuters AS (SELECT DISTINCT label % 3 AS query, 'k' || (vec_id % 55) AS key, '-' AS polarity FROM embeddings WHERE vec_id % 11 = 0),
+SYMBOLIC = """facts AS (SELECT label AS query, 'k' || (vec_id % 40) AS key, CASE WHEN CASE label WHEN 0 THEN vec_id % 3 WHEN 1 THEN 0 ELSE vec_id % 40 % 7 END = 0 THEN '-' ELSE '+' END AS polarity FROM embeddings),
+refuters AS (SELECT DISTINCT label AS query, 'k' || (vec_id % 55) AS key, '-' AS polarity FROM embeddings),
 bad AS (SELECT DISTINCT query FROM (SELECT query, key FROM facts GROUP BY ALL HAVING count(DISTINCT polarity) > 1)),
 worse AS (SELECT DISTINCT query FROM (SELECT query, key FROM (SELECT * FROM facts UNION SELECT * FROM refuters) GROUP BY ALL HAVING count(DISTINCT polarity) > 1))"""
 
@@ -262,10 +263,11 @@ worse AS (SELECT DISTINCT query FROM (SELECT query, key FROM (SELECT * FROM fact
     "CASE outcome WHEN 'contradictory' THEN 'affirm' WHEN 'consistent' THEN 'dissent' ELSE 'abstain' END AS symbolic FROM o"
 )
 def symbolic_consistency(spark, sf_dir):
-    e = V.table(spark, sf_dir, "embeddings").withColumn("query", F.col("label") % 3)
+    e = V.table(spark, sf_dir, "embeddings").withColumn("query", F.col("label"))
     key = lambda n: F.concat(F.lit("k"), (F.col("vec_id") % n).cast("string")).alias("key")
-    facts = e.where("vec_id % 2 = 0").select("query", key(40), F.when(F.col("vec_id") % 7 == 0, "-").otherwise("+").alias("polarity"))
-    refuters = e.where("vec_id % 11 = 0").select("query", key(55), F.lit("-").alias("polarity"))
+    mark = F.when(F.col("label") == 0, F.col("vec_id") % 3).when(F.col("label") == 1, 0).otherwise(F.col("vec_id") % 40 % 7)
+    facts = e.select("query", key(40), F.when(mark == 0, "-").otherwise("+").alias("polarity"))
+    refuters = e.select("query", key(55), F.lit("-").alias("polarity"))
     return A.check_consistency(facts, refuters)
 
 
@@ -280,12 +282,12 @@ def sensitivity_lub(spark, sf_dir):
 
 @query(
     f"""WITH {EVIDENCE}, r AS (SELECT hypothesis AS node, CASE WHEN part % 5 = 0 THEN 'low_faithfulness' WHEN part % 7 = 0 THEN 'faithfulness_unassessed' END AS reason
-  FROM ev WHERE part % 2 = 0)
+  FROM ev)
 SELECT o_orderkey AS node, CASE WHEN count(node) = 0 THEN 'missing_provenance' ELSE coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') END AS reasons
 FROM orders LEFT JOIN r ON o_orderkey = node GROUP BY o_orderkey"""
 )
 def provisional_fold(spark, sf_dir):
-    ev = V.evidence(spark, sf_dir).where("part % 2 = 0")
+    ev = V.evidence(spark, sf_dir)
     reason = F.when(F.col("part") % 5 == 0, "low_faithfulness").when(F.col("part") % 7 == 0, "faithfulness_unassessed")
     props = ev.select(F.col("hypothesis").alias("node"), F.array_compact(F.array(reason)).alias("reasons"))
     nodes = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))

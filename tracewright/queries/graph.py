@@ -160,14 +160,14 @@ def replay_reuse(spark, sf_dir):
     return T.replayable(counts, log, outputs).select("content_hash", "action").join(counts, "content_hash")
 
 
-PROV = f"""WITH {EVIDENCE}, chain AS (SELECT fact, hypothesis, part % 4 = 0 AS no_span, part % 9 = 0 AS no_text, a.action FROM ev
-  LEFT JOIN (SELECT user_id, max_by(event_id, (ts, event_id)) AS action FROM events WHERE user_id % 3 <> 0 GROUP BY user_id) a ON part % 200 = a.user_id)"""
+PROV = f"""WITH {EVIDENCE}, chain AS (SELECT fact, hypothesis, strength < 0.2 AS no_span, sign = 'refutes' AS no_text, a.action FROM ev
+  LEFT JOIN (SELECT user_id, max_by(event_id, (ts, event_id)) AS action FROM events WHERE event_type = 'purchase' GROUP BY user_id) a ON part % 200 = a.user_id)"""
 
 
 def _chain(spark, sf_dir):
     ev = V.evidence(spark, sf_dir)
-    spans = ev.where("part % 4 <> 0").select("fact", F.col("part").alias("span"), F.when(F.col("part") % 9 != 0, "text").alias("text"))
-    log = V.table(spark, sf_dir, "events").where("user_id % 3 <> 0").select("user_id", F.col("event_id").alias("action"), "ts")
+    spans = ev.where("strength >= 0.2").select("fact", F.col("part").alias("span"), F.when(F.col("sign") != "refutes", "text").alias("text"))
+    log = V.table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("action"), "ts")
     last = T.newest(log, ["user_id"], "ts", "action")
     actions = ev.select("fact", (F.col("part") % 200).alias("user_id")).join(last, "user_id").select("fact", "action", "ts")
     return O.provenance_chain(ev.select("fact", "box"), ev.select("fact", F.col("hypothesis").alias("proposition")), spans, actions)
@@ -218,14 +218,14 @@ def degree_filter(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT c_custkey AS id, c_acctbal AS confidence FROM customer), up AS (SELECT c_custkey AS id, -1.0::DOUBLE AS confidence FROM customer WHERE c_custkey % 10 = 0
-UNION ALL SELECT -c_custkey, 1.0 FROM customer WHERE c_custkey % 50 = 0) SELECT * FROM up UNION ALL SELECT * FROM n ANTI JOIN up USING (id)"""
+    """WITH n AS (SELECT c_custkey AS id, c_acctbal AS confidence FROM customer), up AS (SELECT c_custkey AS id, -1.0::DOUBLE AS confidence FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT -c_custkey, 1.0 FROM customer WHERE c_acctbal < 0) SELECT * FROM up UNION ALL SELECT * FROM n ANTI JOIN up USING (id)"""
 )
 def vertex_upsert(spark, sf_dir):
     """Full replacement of vertices by id, with new ones added."""
     c = V.table(spark, sf_dir, "customer")
-    rows = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.lit(-1.0).alias("confidence"))
-    rows = rows.union(c.where("c_custkey % 50 = 0").select((-F.col("c_custkey")).alias("id"), F.lit(1.0).alias("confidence")))
+    rows = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.lit(-1.0).alias("confidence"))
+    rows = rows.union(c.where("c_acctbal < 0").select((-F.col("c_custkey")).alias("id"), F.lit(1.0).alias("confidence")))
     return T.upsert(c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("confidence")), rows, ["id"])
 
 
@@ -294,14 +294,14 @@ def component_evidence(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {PAIRS}, edges AS (SELECT 'e:' || a AS a, 'e:' || b AS b FROM resolved WHERE state = 'confirmed' UNION ALL SELECT 'e:' || p_partkey, 't:' || (p_partkey % 7) FROM part WHERE p_partkey % 40 = 0),
+    f"""WITH RECURSIVE {PAIRS}, edges AS (SELECT 'e:' || a AS a, 'e:' || b AS b FROM resolved WHERE state = 'confirmed' UNION ALL SELECT 'e:' || p_partkey, 't:' || (p_partkey % 7) FROM part WHERE p_size = 1),
 sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS id, a AS other FROM sym UNION SELECT r.id, s.b FROM reach r JOIN sym s ON r.other = s.a),
 comp AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
 agg AS (SELECT root, count(*) FILTER (WHERE id LIKE 'e:%') AS members, count(*) FILTER (WHERE id LIKE 't:%') AS targets, min(substr(id, 3)) FILTER (WHERE id LIKE 'e:%') AS e, min(substr(id, 3)) FILTER (WHERE id LIKE 't:%') AS t FROM comp GROUP BY root)
 SELECT CASE WHEN targets = 1 THEN t ELSE e END AS canonical, members, targets, targets > 1 AS conflict FROM agg"""
 )
 def anchored_components(spark, sf_dir):
-    anchors = V.table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7).alias("target"))
+    anchors = V.table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7).alias("target"))
     out = R.anchored_components(resolved(spark, sf_dir), anchors)
     return out.select("canonical", F.size("members").cast("long").alias("members"), F.size("targets").cast("long").alias("targets"), "conflict")
 

@@ -12,15 +12,16 @@ from tracewright.operators import text as X
 
 COS = "list_cosine_similarity(h.v, e.v)"
 SIDES = "vec AS (SELECT vec_id, label, 'm' || (label % 2) AS model, embedding::DOUBLE[] AS v FROM embeddings)"
-KNN = f"""{SIDES}, sims AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis, {COS} AS similarity FROM vec h JOIN vec e ON h.model = e.model WHERE h.label >= 5 AND e.label < 5 AND h.vec_id % 5 = 0),
+KNN = f"""{SIDES}, sims AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis, {COS} AS similarity FROM vec h JOIN vec e ON h.model = e.model WHERE h.vec_id % 100 = 0 AND e.vec_id <> h.vec_id),
 knn AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY similarity DESC, evidence) AS rank FROM sims QUALIFY rank <= 10)"""
 
 
 def _sides(spark, sf_dir):
+    """The stated query set (ids divisible by 100) as hypotheses, and all rows as evidence."""
     e = V.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("node"), "label", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("model"), F.col("embedding").cast("array<double>").alias("vector")
     )
-    return e.where("label >= 5 and node % 5 = 0"), e.where("label < 5")
+    return e.where("node % 100 = 0"), e
 
 
 @query(f"WITH {KNN} SELECT evidence, hypothesis, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM knn")
@@ -33,7 +34,7 @@ def knn_pushdown(spark, sf_dir):
     return C.knn_pushdown(*_sides(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-POOL = f"{KNN}, st AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis FROM vec h JOIN vec e ON h.vec_id // 50 = e.vec_id // 50 WHERE h.label >= 5 AND e.label < 5 AND h.vec_id % 5 = 0)"
+POOL = f"{KNN}, st AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis FROM vec h JOIN vec e ON h.vec_id // 50 = e.vec_id // 50 WHERE h.vec_id % 100 = 0 AND e.vec_id <> h.vec_id)"
 
 
 def _pool(spark, sf_dir, strategy):
@@ -57,13 +58,13 @@ def candidate_funnel_intersect(spark, sf_dir):
 
 
 @query(
-    """WITH inv AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS entity FROM lineitem), hyp AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 20 = 0),
+    """WITH inv AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS entity FROM lineitem), hyp AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 0),
 pairs AS (SELECT DISTINCT h.node AS hypothesis, e.node AS evidence FROM inv h JOIN hyp ON h.node = o_orderkey JOIN inv e USING (entity) WHERE e.node <> h.node)
 SELECT hypothesis, count(*) AS candidates, min(evidence) AS first FROM pairs GROUP BY hypothesis"""
 )
 def structural_candidates(spark, sf_dir):
     involves = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("entity"))
-    hyp = V.table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("node"))
+    hyp = V.table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("node"))
     pairs = C.structural_candidates(hyp, V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node")), involves)
     return pairs.groupBy("hypothesis").agg(F.count("*").alias("candidates"), F.min("evidence").alias("first"))
 
@@ -76,14 +77,14 @@ def chunk_retrieval_topk(spark, sf_dir):
     return C.retrieve_topk(e, probe, 8).withColumn("distance", F.round("distance", 6))
 
 
-GOLD = "gold AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis, CASE WHEN e.vec_id % 2 = 0 THEN 'supports' ELSE 'refutes' END AS sign, e.vec_id % 3 = 0 AS dissimilar FROM vec h JOIN vec e ON h.model = e.model AND h.vec_id % 25 = e.vec_id % 25 WHERE h.label >= 5 AND e.label < 5 AND h.vec_id % 5 = 0)"
+GOLD = "gold AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis, CASE WHEN e.vec_id % 2 = 0 THEN 'supports' ELSE 'refutes' END AS sign, e.vec_id % 3 = 0 AS dissimilar FROM vec h JOIN vec e ON h.model = e.model AND h.vec_id % 25 = e.vec_id % 25 WHERE h.vec_id % 100 = 0 AND e.vec_id <> h.vec_id)"
 
 
 def _gold(spark, sf_dir):
     hyp, ev = _sides(spark, sf_dir)
     h = hyp.select(F.col("node").alias("hypothesis"), "model", (F.col("node") % 25).alias("k"))
     e = ev.select(F.col("node").alias("evidence"), "model", (F.col("node") % 25).alias("k"))
-    pairs = h.join(e, ["model", "k"])
+    pairs = h.join(e, ["model", "k"]).where("evidence <> hypothesis")
     return pairs.select("evidence", "hypothesis", F.when(F.col("evidence") % 2 == 0, "supports").otherwise("refutes").alias("sign"), (F.col("evidence") % 3 == 0).alias("dissimilar"))
 
 
