@@ -105,6 +105,9 @@ def test_anti_join_reads_the_index_without_a_shuffle(spark):
     fresh = spark.createDataFrame([("b", 3), ("c", 4)], "digest string, keep_id long")
     plan = fresh.hint("merge").join(index.read().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    plan = index.winners(fresh.select("digest"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.digest, r.keep_id) for r in index.winners(fresh.select("digest")).collect()} == {("b", 2)}
 
 
 def test_drop_exact_keeps_one_row_of_each_text(spark):

@@ -42,9 +42,17 @@ class DigestIndex:
 
     def add(self, digests: DataFrame) -> None:
         """Append the digests of ``(digest, keep_id)``, unique by digest, that the index lacks."""
-        if self.exists():
-            digests = digests.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        writer = digests.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
+        if not self.exists():
+            self._append(self.spark.createDataFrame([], "digest string, keep_id long"))
+        self._append(digests.hint("merge").join(self.read().select("digest"), "digest", "left_anti"))
+
+    def winners(self, groups: DataFrame) -> DataFrame:
+        """``groups``, one row per digest, with ``keep_id`` of the index, whose buckets are read as they lie."""
+        return groups.hint("merge").join(self.read(), "digest")
+
+    def _append(self, rows: DataFrame) -> None:
+        """The rows come in the buckets' own partitions from the join, so they are not dealt out again."""
+        writer = rows.write.bucketBy(self.buckets, "digest").sortBy("digest")
         writer.option("path", self.path).format("parquet").mode("append").saveAsTable(self.name)
 
 
@@ -60,9 +68,7 @@ def exact_duplicates(df: DataFrame, index: DigestIndex, id_col: str = "doc_id",
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = materialize(groups, "digest-groups")
     index.add(groups.select("digest", "keep_id"))
-    # As an expression, so that neither side is pinned to the buckets and a hot digest can be split.
-    kept = index.read().select(F.concat("digest", F.lit("")).alias("digest"), "keep_id")
-    winners = groups.drop("keep_id").join(kept, "digest")
+    winners = materialize(index.winners(groups.drop("keep_id")), "digest-winners")
     out = rows.join(winners, "digest")
     return out.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
