@@ -121,7 +121,7 @@ def scan_secrets(
     single = single.select("row", "owner", "repository", "s.*")
     copies = single.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     spread = copies.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories"))
-    judged = single.join(spread, "hash")
+    judged = single.join(materialize(spread, "secret-owners"), "hash")
     copied = F.col("owners") >= min_owners
     judged = judged.withColumn("live", ~copied & F.col("looks")).withColumn("copied", copied)
     is_base = F.get(F.array(*[F.lit(k.base) for k in kinds]), F.col("kind"))
