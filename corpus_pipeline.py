@@ -1,8 +1,9 @@
 """Corpus preparation in five stages, each written as Parquet and read again before the next.
 
 Language identification drops what it rejects, exact deduplication keeps the row with the largest id of
-equal texts, near deduplication keeps one document of each SimHash component, mixing cuts sources to their
-target weights and packing lays the tokens out in windows. The first four return the columns of documents.
+equal texts, near deduplication keeps one document of each component of texts whose five-word shingles have a
+Jaccard similarity of 0.8 or more, mixing cuts sources to their target weights and packing lays the tokens out
+in windows. The first four return the columns of documents.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewright.llm.exact import drop_exact, fresh_index
 from tracewright.llm.langid import fit_centroids, keep_identified
 from tracewright.llm.mixing import mix_sources
+from tracewright.llm.near_copies import near_copies
 from tracewright.llm.pack import pack_documents
-from tracewright.llm.simhash import near_duplicates
 from tracewright.plans.storage import materialize
 
 #: Of the words left after deduplication, this share is dealt to sources by weight; no document twice.
@@ -30,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the least id stays; documents without an id stay too."""
-    copies = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    copies = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
