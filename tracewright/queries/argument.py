@@ -235,13 +235,12 @@ def opinion_fusion_averaging(spark, sf_dir):
 
 @query()
 def revision_fixpoint(spark, sf_dir):
-    """The revision loop over orders derived from first orders: what is left standing once refutations are carried through."""
+    """The revision loop over all derivations: what is left standing once refutations are carried through."""
     base, body = (materialize(df, "revision") for df in V.derivations(spark, sf_dir))
     ev = V.evidence(spark, sf_dir)
     hyps = V.hypotheses(spark, sf_dir)
     facts = ev.select(F.col("fact").alias("node"), F.col("base").alias("confidence"))
     grounded = base.select(F.col("node").cast("string").alias("node"), "confidence").union(facts)
-    body = body.join(base.select(F.col("node").alias("atom")), "atom", "left_semi")
     rules = body.select(*[F.col(c).cast("string").alias(c) for c in ("rule", "head", "atom")], "strength")
     hyp = hyps.select(F.col("hypothesis").cast("string").alias("hypothesis"), "base")
     edges = ev.select(F.col("fact").alias("src"), F.col("hypothesis").cast("string").alias("dst"), "sign", "strength")
