@@ -3,6 +3,7 @@
 import pytest
 
 from tracewright import views as V
+from tracewright.catalogue import QUERIES
 from tracewright.operators import adjudicate as A
 from tracewright.queries import argument
 
@@ -19,3 +20,27 @@ def test_revision_takes_every_premise(spark, sf, monkeypatch):
         argument.revision_fixpoint(spark, sf)
     want = V.derivations(spark, sf)[1].selectExpr("cast(rule as string)", "cast(atom as string)").collect()
     assert sorted(map(tuple, seen["rules"].select("rule", "atom").collect())) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("kind", ["cumulative", "averaging"])
+def test_fusion_takes_every_opinion(spark, sf, kind):
+    votes = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag").collect():
+        votes.setdefault(r.l_orderkey, {}).setdefault(r.l_linenumber, []).append(r.l_returnflag)
+    want = {}
+    for order, lines in votes.items():
+        done = None
+        for _, flags in sorted(lines.items()):
+            p, n = flags.count("A"), flags.count("R")
+            b, d, u = p / (p + n + 2), n / (p + n + 2), 2 / (p + n + 2)
+            if done:
+                fb, fd, fu = done
+                k = fu + u - fu * u if kind == "cumulative" else fu + u
+                b, d, u = (fb * u + b * fu) / k, (fd * u + d * fu) / k, (1 if kind == "cumulative" else 2) * fu * u / k
+            done = b, d, u
+        want[order] = done
+    assert max(map(len, votes.values())) > 3
+    got = QUERIES[f"opinion_fusion_{kind}_all"](spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.belief, r.disbelief, r.uncertainty) == pytest.approx(want[r.l_orderkey], abs=2e-6)

@@ -193,16 +193,17 @@ def effective_credibility(spark, sf_dir):
     return O.credibility(facts, V.boxes(spark, sf_dir), props).select("fact", F.round("credibility", 6).alias("credibility"))
 
 
-def _opinions(spark, sf_dir):
-    """For each order one opinion a line number from its votes, ordered, as an array."""
+def _opinions(spark, sf_dir, lines=None):
+    """For each order one opinion a line number (the first ``lines``, or all) from its votes, ordered, as an array."""
     side = lambda v: F.count_if(F.col("l_returnflag") == v).cast("double")
-    counts = V.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber")
+    rows = V.table(spark, sf_dir, "lineitem")
+    counts = (rows if lines is None else rows.where(F.col("l_linenumber") <= lines)).groupBy("l_orderkey", "l_linenumber")
     each = counts.agg(S.opinion(side("A"), side("R")).alias("o"))
     return each.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "o"))), lambda s: s["o"]).alias("opinions"))
 
 
-def _fused(spark, sf_dir, fusion):
-    out = _opinions(spark, sf_dir).select("l_orderkey", P.fuse(F.col("opinions"), fusion).alias("o"))
+def _fused(spark, sf_dir, fusion, lines=None):
+    out = _opinions(spark, sf_dir, lines).select("l_orderkey", P.fuse(F.col("opinions"), fusion).alias("o"))
     parts = {c: F.round(F.col(f"o.{c}"), 6) for c in ("belief", "disbelief", "uncertainty")}
     return out.select("l_orderkey", *[v.alias(k) for k, v in parts.items()], F.round(S.projected(F.col("o")), 6).alias("projected"))
 
@@ -225,11 +226,23 @@ def _fusion_sql(u: str, k: str) -> str:
 
 @query(_fusion_sql("f.u * x.u", "f.u + x.u - f.u * x.u"))
 def opinion_fusion_cumulative(spark, sf_dir):
+    return _fused(spark, sf_dir, P.cumulative_fuse, lines=3)
+
+
+@query()
+def opinion_fusion_cumulative_all(spark, sf_dir):
+    """All opinions of every order; the SQL of the query above stops at three."""
     return _fused(spark, sf_dir, P.cumulative_fuse)
 
 
 @query(_fusion_sql("2 * f.u * x.u", "f.u + x.u"))
 def opinion_fusion_averaging(spark, sf_dir):
+    return _fused(spark, sf_dir, P.averaging_fuse, lines=3)
+
+
+@query()
+def opinion_fusion_averaging_all(spark, sf_dir):
+    """All opinions of every order; the SQL of the query above stops at three."""
     return _fused(spark, sf_dir, P.averaging_fuse)
 
 
