@@ -2,7 +2,8 @@
 
 Texts become TF-IDF vectors of character 1- to 3-grams of their letters, normalised to length one. Each
 language has several centroids, found by spherical k-means; a text gets the language of the centroid with
-the greatest cosine, and is rejected where it lies much farther out than any of that language's members.
+the greatest cosine, and is rejected where it lies much farther out than texts of that language and of its
+length do: short texts have few n-grams and lie far from every centroid.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import map_arrow, prepare_workers, table
 
 DIMENSIONS = 8192
 CENTROIDS, ROUNDS = 4, 12
-#: The bound of the labelled sample that the centroids are fitted on, and of the languages in it.
-SAMPLE_ROWS, MAX_LANGUAGES = 2000, 100
-#: A text is rejected below this share of the least cosine that any of a language's centroids has with its members.
-REJECT_SHARE = 0.3
+#: The bound of the labelled sample that the centroids are fitted on; every language has LEAST_ROWS of it at least.
+SAMPLE_ROWS, LEAST_ROWS = 2000, 4
+#: A text is rejected below REJECT_SHARE of the cosine that all but REJECT_QUANTILE of the sample of its language
+#: and length reach. Lengths are powers of two; one with fewer than REJECT_ROWS rows takes in its neighbours.
+REJECT_SHARE, REJECT_QUANTILE, REJECT_ROWS = 0.6, 0.01, 40
+LENGTHS = 64
 UNKNOWN = "und"
 _SPACE = 32
 _letters: np.ndarray | None = None
@@ -66,6 +69,7 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray
     owner: np.ndarray
+    #: Languages x lengths: the least cosine that is not rejected.
     least: np.ndarray
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
@@ -82,7 +86,7 @@ class Centroids:
             cosines = self.vectors @ self.vector(counts)
             best = int(cosines.argmax())
             score = float(min(1.0, max(0.0, cosines[best])))
-            out.append((self.languages[self.owner[best]], score, score < REJECT_SHARE * float(self.least[best])))
+            out.append((self.languages[self.owner[best]], score, score < self.least[self.owner[best], int(counts.sum()).bit_length()]))
         return out
 
 
@@ -100,29 +104,38 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np
     return centres, (rows @ centres.T).argmax(axis=1)
 
 
+def least_cosines(cosines: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each length the cosine below which a text is rejected, from those of a language's sample."""
+    least = np.zeros(LENGTHS)
+    for at in range(LENGTHS):
+        apart = np.abs(lengths - at)
+        near = cosines[apart <= max(1, np.sort(apart)[min(REJECT_ROWS, len(apart)) - 1])]
+        least[at] = REJECT_SHARE * np.quantile(near, REJECT_QUANTILE)
+    return least
+
+
 def held_out(id_col: Column) -> Column:
     """Whether crc32 of the id as text is divisible by 5; a null id is not held out, nor learned from."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_centroids(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES
-) -> Centroids:
-    """Fit on at most ``2 * sample_rows`` labelled rows, about equally many a language.
+def fit_centroids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Centroids:
+    """Fit on at most ``sample_rows`` labelled rows, equally many a language, or LEAST_ROWS of each if that is more.
 
     Rows with a null id, text or language and rows held out are not used. The sample is drawn by a hash of
-    the id; only n-gram counts reach the driver, so long texts do not. Languages beyond ``max_languages``,
-    rarest first, are not learned. Without labelled rows every prediction is ``und`` and rejected.
+    the id; only n-gram counts reach the driver, so long texts do not. Every language is learned: the driver
+    holds a row a language, which is a matter of the label vocabulary and not of the corpus. Without labelled
+    rows every prediction is ``und`` and rejected.
     """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    each = sample_rows / max(1, len(sizes))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, each / r["n"]))).otherwise(share)
-    draw = F.xxhash64(F.col(id_col).cast("string"))
-    picked = rows.where(F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30))
-    picked = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    each = max(LEAST_ROWS, sample_rows // max(1, len(sizes)))
+    # Twice the rows wanted and 64 more are drawn, so that the least hashes of each language are among them.
+    shares = [(r["lang"], min(1 << 30, (1 << 30) * (2 * each + 64) // r["n"])) for r in sizes]
+    shares = df.sparkSession.createDataFrame(shares, "lang string, share long")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("share"))
+    picked = drawn.select("lang", "text", "draw")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +147,14 @@ def fit_centroids(
             arrays.append(pa.array([found[i][w].astype(np.int32) for i, w in zip(keep, where)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "draw", "grams", "counts"])
 
-    seen = map_arrow(picked, count, "lang string, draw long, grams array<int>, counts array<int>").orderBy("draw").limit(2 * sample_rows).toArrow()
+    seen = map_arrow(picked, count, "lang string, draw long, grams array<int>, counts array<int>")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("grams", "counts")))
+    seen = seen.withColumn("turn", turn).where(F.col("turn") <= each).orderBy("lang", "turn").toArrow()
     matrix = np.zeros((seen.num_rows, DIMENSIONS), np.float32)
     for i, (at, n) in enumerate(zip(seen.column("grams"), seen.column("counts"))):
         matrix[i, at.values.to_numpy()] = n.values.to_numpy()
     labels = np.array(seen.column("lang").to_pylist(), dtype=object)
+    lengths = np.array([int(n).bit_length() for n in matrix.sum(axis=1)], int)
     idf = (np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))) + 1).astype(np.float32)
     np.log1p(matrix, out=matrix)
     matrix *= idf
@@ -148,10 +164,9 @@ def fit_centroids(
         own = matrix[labels == lang]
         centres, member = spherical_kmeans(own, CENTROIDS)
         used = [c for c in range(len(centres)) if (member == c).any()]
-        reach = min(float((own[member == c] @ centres[c]).min()) for c in used)
         vectors += [centres[c] for c in used]
         owner += [number] * len(used)
-        least += [reach] * len(used)
+        least.append(least_cosines((own * centres[member]).sum(axis=1), lengths[labels == lang]))
     return Centroids(languages, idf, np.array(vectors, np.float32).reshape(-1, DIMENSIONS), np.array(owner, int), np.array(least))
 
 
