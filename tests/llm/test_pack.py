@@ -11,7 +11,6 @@ from tokenizers import Tokenizer
 from tracewright.llm import pack
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 FAST = pack.WordTokenizer()
 
 
@@ -30,6 +29,13 @@ def test_word_tokenizer_on_awkward_texts():
         assert np.frombuffer(FAST(text), "<u4").tolist() == ids_of(text)
 
 
+def test_added_tokens_have_their_own_ids():
+    """A literal added token is one id by the contract's call, alone, inside words and at the seams."""
+    assert 50256 in ids_of("x <|endoftext|> y")
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext|>", "<|endoftext|> <|endoftext|>", "< |endoftext|>", "<|endoftext|"):
+        assert np.frombuffer(FAST(text), "<u4").tolist() == ids_of(text)
+
+
 def test_differencing_deals_every_item_once_and_nearly_evenly():
     rng = random.Random(1)
     for windows in (1, 2, 7, 16):

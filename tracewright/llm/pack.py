@@ -3,15 +3,16 @@
 Documents are tokenised and packed inside the partition that holds them, so nothing is shuffled and a lost
 task is simply run again with the same result. Whole windows are cut off long documents; the tails gather
 in batches of about ``batch_windows`` windows. A batch is dealt to its windows by multiway differencing:
-partial partitions are merged two at a time, the fullest windows of one with the emptiest of the other. If
-a window exceeds its capacity, pieces are cut finer, and after the finest the window count rises. What the
-last batch leaves over after its full windows is laid out in windows of power-of-two length.
+partial partitions are merged two at a time, the fullest windows of one with the emptiest of the other. Whenever
+a window exceeds its capacity the window count rises. What the last batch leaves over after its full windows,
+less than a window, is laid out in windows of power-of-two length, which are full.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ WINDOW = 1024
 BATCH_WINDOWS = 64
 #: Share of a window that a batch aims to fill; the rest gives differencing room for its last imbalance.
 TARGET_FILL = 0.99
-#: Lengths to which tails are cut, tried in this order.
-PIECE_LIMITS = (256, 128, 64)
+#: Length to which tails are cut before they are dealt.
+PIECE_LIMIT = 128
 CACHED_WORDS, CACHED_CHARS = 150_000, 64
 VOCABULARY = "byte_bpe_50k"
 
@@ -40,8 +41,9 @@ class WordTokenizer:
 
     The vocabulary splits a text before every single space between two non-space characters, so the ids of
     such words stand side by side unchanged. Texts with other white space at a seam go through whole. The
-    ranked vocabulary file and the json one describe one tokenizer; a text on which the ranked engine
-    breaks (very long runs of one class) is handed to the json engine.
+    ranked vocabulary file and the json one describe one tokenizer, but for the added tokens that the json
+    one finds in a text: a text that holds one of them is handed to the json engine, as is one on which the
+    ranked engine breaks (very long runs of one class).
     """
 
     _seam = re.compile(r"\s\s|\A\s|\s\Z")
@@ -55,6 +57,9 @@ class WordTokenizer:
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._json_path = public_tokenizers.path(f"{vocabulary}.json")
+        with open(self._json_path, encoding="utf-8") as described:
+            added = [token["content"] for token in json.load(described).get("added_tokens") or []]
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._json = None
         self._engine = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._words: dict[str, bytes] = {}
@@ -62,19 +67,23 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         try:
             ids = self._engine.encode_ordinary(text)
-        except BaseException as error:
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as error:  # the engine's panic has no class to import and is no Exception
+            if type(error).__name__ != "PanicException":
                 raise
-            if self._json is None:
-                from tokenizers import Tokenizer
-
-                self._json = Tokenizer.from_file(self._json_path)
-                self._json.encode_special_tokens = True
-            ids = self._json.encode(text, add_special_tokens=False).ids
+            return self._by_json(text)
         return np.asarray(ids, dtype="<u4").tobytes()
 
+    def _by_json(self, text: str) -> bytes:
+        if self._json is None:
+            from tokenizers import Tokenizer
+
+            self._json = Tokenizer.from_file(self._json_path)
+        return np.asarray(self._json.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self._added and self._added.search(text):
+            return self._by_json(text)
         if self._seam.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
@@ -131,15 +140,13 @@ def _cut(pieces: list[tuple], limit: int) -> list[tuple]:
 
 
 def deal(pieces: list[tuple], window: int = WINDOW, windows: int | None = None) -> list[list[tuple]]:
-    """Pack pieces ``(document, start, length)`` of at most ``window`` tokens into windows."""
-    total = sum(p[2] for p in pieces)
-    count = max(1, windows or -(-total // window))
+    """Pack pieces ``(document, start, length)`` into windows, one more whenever one exceeds its capacity."""
+    fine = _cut(pieces, max(1, PIECE_LIMIT * window // WINDOW))
+    count = max(1, windows or -(-sum(p[2] for p in fine) // window))
     while True:
-        for limit in dict.fromkeys(max(1, x * window // WINDOW) for x in PIECE_LIMITS):
-            fine = _cut(pieces, limit)
-            dealt = karmarkar_karp([p[2] for p in fine], count)
-            if not dealt or dealt[0][0] <= window:
-                return [_joined([fine[i] for i in items]) for _, items in dealt]
+        dealt = karmarkar_karp([p[2] for p in fine], count)
+        if not dealt or dealt[0][0] <= window:
+            return [_joined([fine[i] for i in items]) for _, items in dealt]
         count += 1
 
 
