@@ -4,10 +4,12 @@ The token budget is dealt from the root down. At each node the children get shar
 weights, none more than its subtree can give (its tokens times ``max_epochs``); what a child cannot use goes
 to its siblings first, and only what all of them cannot use has already been left with the node's own
 siblings, because a node's capacity is the sum of its leaves'. A leaf's budget is whole passes over its
-documents and then a prefix of one more pass, in an order seeded by the epoch.
+documents and then a prefix of one more pass, in an order seeded by the epoch. The document that the budget
+ends in is cut to the words that are left.
 
-Only DataFrame functions are used. Texts are never shuffled: two narrow scans find, for each leaf, the last
-order key that its budget reaches, and the selection is a comparison with that key.
+Only DataFrame functions are used. Texts are never shuffled: token counts are written once, and from them each
+leaf's last order key is found digits by digits, 256 sums a leaf at a time; the selection is a comparison
+with that key.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ SEED, MAX_EPOCHS, BUDGET_RATIO = 17, 2, 0.8
 LANG_WEIGHTS = {"en": 4.0, "fr": 2.0, "de": 2.0, "es": 2.0}
 #: Leaves up to which the table of cuts is broadcast; a larger one is joined by a shuffle.
 BROADCAST_LEAVES = 50_000
+#: Times that two more hexadecimal digits of the order keys are looked at before the keys themselves.
+LEVELS = 3
 _LEAF = ["__domain", "__lang", "__source"]
 
 
@@ -65,6 +69,31 @@ def leaf_budgets(leaves: DataFrame, total: float, lang_weights: Mapping[str, flo
     return water_fill(sources, [d, l], s, F.col("__up")).drop("weight", "__up")
 
 
+def _ends(tokens: DataFrame, budget: DataFrame, order_key) -> DataFrame:
+    """Rows ``(*_LEAF, full, last, left)``: the last order key a leaf's budget reaches, and its tokens in reach of that key.
+
+    ``LEVELS`` times the next digits of the order keys are summed, and the digits kept where the budget ends,
+    so that a task never sorts more than 256 sums of a leaf; what is left at the end is a 2**24th of a leaf.
+    """
+    at = budget.where("rest > 0").select(*_LEAF, "full", "rest", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before"))
+    at = materialize(at, "mix-level")
+    for level in range(LEVELS + 1):
+        rows = tokens.join(F.broadcast(at) if _few(at) else at, _LEAF).withColumn("order", order_key(F.col("full"), F.col("id")))
+        digits = 2 * (level + 1) if level < LEVELS else 32
+        sums = rows.where(F.substring("order", 1, 2 * level) == F.col("cut"))
+        sums = sums.groupBy(*_LEAF, "full", "rest", "before", F.substring("order", 1, digits).alias("next")).agg(F.sum("tok").alias("tok"))
+        run = Window.partitionBy(*_LEAF).orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("start", F.col("before") + F.coalesce(F.sum("tok").over(run), F.lit(0))).where("start < rest")
+        found = sums.groupBy(*_LEAF, "full", "rest").agg(F.max("next").alias("cut"), F.max("start").alias("before"))
+        at = materialize(found, "mix-level")
+    last = at.select(*_LEAF, F.col("cut").alias("last"), (F.col("rest") - F.col("before")).alias("left"))
+    return materialize(budget.select(*_LEAF, "full").join(last, _LEAF, "left"), "mix-ends")
+
+
+def _few(leaves: DataFrame) -> bool:
+    return leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+
+
 def mix_sources(
     df: DataFrame,
     budget_ratio: float = BUDGET_RATIO,
@@ -78,63 +107,58 @@ def mix_sources(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    cut: bool = True,
 ) -> DataFrame:
-    """The selected rows with all their columns, one copy for each epoch, and a struct ``__mix``.
+    """The selected rows with all their columns, one copy for each epoch, and last a struct ``__mix``.
 
-    ``__mix`` has domain, epoch and n_tokens (words). The budget is ``budget_ratio`` times all tokens. A
-    document whose prefix start lies before the end of its leaf's budget is taken whole. Null language,
-    source and id count as empty strings, null text as no tokens; rows repeated with one id go together;
-    a leaf without tokens gives nothing; an empty table gives no rows; other columns are carried along.
+    The text that a budget ends in is cut to the words left (whole with ``cut`` false); ``__mix`` has domain,
+    epoch and n_tokens (words taken), and gets more underscores where ``df`` has such a column; any other
+    names pass through. The budget is ``budget_ratio`` times all tokens. Null language, source and id count
+    as empty strings, null text as no tokens; rows repeated with one id go together and are cut alike; a
+    leaf without tokens gives nothing; an empty table gives no rows.
     """
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     source = F.coalesce(F.col(source_col), F.lit(""))
-    named = df.withColumns({
-        "__domain": domain_of(source) if domain is None else F.coalesce(domain, F.lit("")),
-        "__lang": F.coalesce(F.col(lang_col), F.lit("")), "__source": source, "__id": key,
-    })
-    tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
-
-    def order_key(epoch: Column) -> Column:
-        return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.col("__id")))
+    leaf = [
+        (domain_of(source) if domain is None else F.coalesce(domain, F.lit(""))).alias(_LEAF[0]),
+        F.coalesce(F.col(lang_col), F.lit("")).alias(_LEAF[1]), source.alias(_LEAF[2]), key.alias("id"),
+    ]
 
-    def bucket(order: Column) -> Column:
-        return F.substring(order, 1, 3)
+    def order_key(epoch: Column, id_: Column) -> Column:
+        return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), id_))
 
-    epochs = F.array(*[F.lit(e) for e in range(max_epochs)])
-    narrow = named.select(*_LEAF, "__id", tokens.alias("tok"))
-    passes = narrow.withColumn("epoch", F.explode(epochs)).withColumn("bucket", bucket(order_key(F.col("epoch"))))
-    stats = materialize(passes.groupBy(*_LEAF, "epoch", "bucket").agg(F.sum("tok").alias("tok")), "mix-stats")
-    leaves = stats.where("epoch = 0").groupBy(*_LEAF).agg(F.sum("tok").alias("have"))
+    tokens = materialize(df.select(*leaf, F.regexp_count(text, F.lit(WORD)).cast("long").alias("tok")), "mix-tokens")
+    leaves = tokens.groupBy(*_LEAF).agg(F.sum("tok").alias("have"))
     leaves = materialize(leaves.withColumn("cap", F.col("have").cast("double") * max_epochs), "mix-leaves")
     total = (leaves.agg(F.sum("have")).first()[0] or 0) * budget_ratio
     budget = leaf_budgets(leaves, total, lang_weights, domain_weights, source_weights)
     budget = budget.withColumn("take", F.floor(F.col("alloc") + 1e-6)).where("have > 0")
     budget = budget.withColumn("full", F.least(F.lit(max_epochs), F.floor(F.col("take") / F.col("have"))).cast("int"))
-    budget = budget.withColumn("rest", F.col("take") - F.col("full") * F.col("have")).select(*_LEAF, "full", "rest")
-
-    run = Window.partitionBy(*_LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    reached = stats.join(budget, _LEAF).where("epoch = full").withColumn("before", F.coalesce(F.sum("tok").over(run), F.lit(0)))
-    reached = reached.where("before < rest").groupBy(*_LEAF).agg(F.max("bucket").alias("cut"), F.max("before").alias("before"))
-    cuts = materialize(budget.join(reached, _LEAF, "left"), "mix-cuts")
-    small = cuts.count() <= BROADCAST_LEAVES
-
-    def with_cuts(rows: DataFrame, table_: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(table_) if small else table_, _LEAF)
-
-    edge = with_cuts(named.select(*_LEAF, "__id", text.alias("__text")), cuts.where("cut is not null"))
-    edge = edge.withColumn("order", order_key(F.col("full"))).where(bucket(F.col("order")) == F.col("cut"))
-    edge = edge.withColumn("tok", F.regexp_count("__text", F.lit(WORD)).cast("long"))
-    edge = edge.groupBy(*_LEAF, "order", "rest", "before").agg(F.sum("tok").alias("tok"))
-    prefix = Window.partitionBy(*_LEAF).orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("tok").over(prefix), F.lit(0))
-    edge = edge.withColumn("start", start).where("start < rest")
-    last = materialize(edge.groupBy(*_LEAF).agg(F.max("order").alias("last")), "mix-last")
-    ends = cuts.join(last, _LEAF, "left").select(*_LEAF, "full", "last")
-    chosen = with_cuts(named, ends)
-    taken = F.filter(epochs, lambda e: (e < F.col("full")) | ((e == F.col("full")) & (order_key(F.col("full")) <= F.col("last"))))
-    chosen = chosen.withColumn("__epoch", F.explode(taken))
-    mark = F.struct(F.col("__domain").alias("domain"), F.col("__epoch").alias("epoch"), tokens.alias("n_tokens"))
-    return chosen.select(*[F.col(f"`{c}`") for c in df.columns], mark.alias("__mix"))
+    rest = F.when(F.col("full") < max_epochs, F.col("take") - F.col("full") * F.col("have")).otherwise(0)
+    budget = materialize(budget.withColumn("rest", rest).select(*_LEAF, "full", "rest"), "mix-budget")
+    ends = _ends(tokens, budget, order_key)
+
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    chosen = df.select(F.struct(*columns).alias("row"), *leaf)
+    chosen = chosen.join(F.broadcast(ends) if _few(ends) else ends, _LEAF)
+    epochs = F.array(*[F.lit(e) for e in range(max_epochs)])
+    order = order_key(F.col("full"), F.col("id"))
+    taken = F.filter(epochs, lambda e: (e < F.col("full")) | ((e == F.col("full")) & (order <= F.col("last"))))
+    chosen = chosen.withColumn("epoch", F.explode(taken))
+    own = F.col("row").getField(text_col)
+    count = F.regexp_count(F.coalesce(own, F.lit("")), F.lit(WORD)).cast("long")
+    # Only the document that a budget ends in is counted against it; for all others the test is a comparison of keys.
+    ended = (F.col("epoch") == F.col("full")) & (order == F.col("last")) & (count > F.col("left"))
+    words = F.when(ended & F.lit(cut), F.col("left")).otherwise(count)
+    name = "__mix"
+    while name in df.columns:
+        name += "_"
+    mark = F.struct(F.col(_LEAF[0]).alias("domain"), F.col("epoch"), words.alias("n_tokens")).alias(name)
+    if not cut:
+        return chosen.select("row.*", mark)
+    head = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("left").cast("int")), "")
+    fields = [F.when(ended, head).otherwise(own).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns]
+    return chosen.select(*fields, mark)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +193,7 @@ passes AS (
     coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source, e.epoch ORDER BY md5('{SEED}:' || e.epoch || ':' || doc_id)
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM docs d JOIN plan p USING (domain, lang, source), (SELECT unnest(range({MAX_EPOCHS})) AS epoch) e)
-SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, n_tokens FROM passes
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch,
+  CAST(CASE WHEN epoch = full_passes THEN least(n_tokens, rest - start) ELSE n_tokens END AS BIGINT) AS n_tokens FROM passes
 WHERE epoch < full_passes OR (epoch = full_passes AND start < rest)
 """  # noqa: E501
