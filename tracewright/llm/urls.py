@@ -46,21 +46,20 @@ HOST_RULES = (
 )
 
 
-def _label(*tokens: str) -> PatternRule:
-    name = "-".join(tokens)
-    return PatternRule(name, rf"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?{name}\.", tokens)
+def host_word(word: str) -> PatternRule:
+    """Blocks hosts with ``word`` between dots, hyphens or the ends."""
+    return PatternRule(f"host:{word}", rf"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?{word}[.-]", (word,))
 
 
+#: Words for gambling, drugs, sex, advertising and abuse that hosts are commonly blocked by.
+HOST_WORDS = "casino poker bet bets betting slots pills pharmacy viagra adult porn sex xxx escort ads adserver track tracker tracking spam phishing malware torrent warez".split()
 PATTERN_RULES = (
-    _label("cheap", "pills"),
-    _label("free", "bets"),
-    _label("casino", "win"),
-    _label("spam", "farm"),
-    _label("ads", "track"),
-    _label("adult", "x"),
+    *map(host_word, HOST_WORDS),
     PatternRule("login", r"^[^?#]*/login(/|$|[?#])", ("login",)),
     PatternRule("wp-admin", r"/wp-admin(/|$|[?#])", ("wp", "admin")),
 )
+#: Characters of pattern rules up to which they are broadcast; a longer list is refused, not cut.
+MOST_RULE_CHARS = 64 << 20
 _run = re.compile(r"[a-z0-9]+")
 _upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _parts = re.compile(r"://([^/?#]*)([^?#]*)")
@@ -81,6 +80,21 @@ def index_rules(rules: Sequence[PatternRule], counts: dict[str, int]) -> dict[st
     return dict(index)
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[PatternRule, ...]:
+    """Pattern rules from tab-separated lines: name, pattern, tokens parted by spaces; blank lines and those from # on are skipped."""
+    lines = (r[0].split("\t") for r in spark.read.text(path).collect() if r[0].strip() and not r[0].startswith("#"))
+    return tuple(PatternRule(name, pattern, tuple(tokens.split())) for name, pattern, tokens in lines)
+
+
+def token_counts(urls: DataFrame, literals: Sequence[str]) -> dict[str, int]:
+    """How many URLs of the column ``low`` contain each literal; a row for each literal reaches the driver."""
+    if not literals:
+        return {}
+    wanted = urls.sparkSession.createDataFrame([(t,) for t in literals], "t string")
+    seen = urls.select(F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("t"))
+    return {r["t"]: r["n"] for r in seen.join(F.broadcast(wanted), "t").groupBy("t").agg(F.count("*").alias("n")).collect()}
+
+
 def filter_urls(
     df: DataFrame,
     host_rules: Sequence[HostRule] = HOST_RULES,
@@ -93,23 +107,29 @@ def filter_urls(
     The longest host rule that fits decides; else a URL that some pattern rule matches is blocked (the
     first rule in list order is named in ``pattern``) and any other allowed. A null URL, or one without
     ``://``, has an empty host and path and only pattern rules judge it; null URLs are allowed. Repeated
-    rows and null ids pass through; an empty table gives no rows. The rule lists are parameters, so what
-    reaches the driver (a count for each literal token) does not grow with the pages.
+    rows and null ids pass through; an empty table gives no rows. The rule lists are parameters (see
+    :func:`read_rules`): they are broadcast within ``MOST_RULE_CHARS``, and what reaches the driver, a count
+    for each literal token, does not grow with the pages.
     """
-    literals = sorted({t for r in pattern_rules for t in r.tokens})
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(url_col)), F.lit("[a-z0-9]+"), 0))
-    seen = df.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, literals)))).alias("t")) if literals else None
-    counts = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()} if literals else {}
-    index = index_rules(pattern_rules, counts)
-    order = {r.name: k for k, r in enumerate(pattern_rules)}
-    ranked = sorted(host_rules, key=lambda r: -len(r.host + r.path))
+    if sum(len(r.name) + len(r.pattern) + sum(map(len, r.tokens)) for r in pattern_rules) > MOST_RULE_CHARS:
+        raise ValueError("the pattern rules are too long to be held by every worker")
+    low_url = df.select(F.translate(F.col(url_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("low"))
+    index = index_rules(pattern_rules, token_counts(low_url, sorted({t for r in pattern_rules for t in r.tokens})))
+    shared = df.sparkSession.sparkContext.broadcast((index, {r.name: k for k, r in enumerate(pattern_rules)}, list(host_rules)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.name: re.compile(r.pattern) for r in pattern_rules}
+        index, order, hosts = shared.value
+        compiled: dict[str, re.Pattern] = {}
+        patterns = {r.name: r.pattern for rules in index.values() for r in rules}
         by_host: dict[str, list[HostRule]] = defaultdict(list)
-        for r in ranked:
+        for r in hosts:
             by_host[r.host].append(r)
 
+        def matches(name: str, low: str) -> bool:
+            if name not in compiled:
+                compiled[name] = re.compile(patterns[name])
+            return compiled[name].search(low) is not None
+
         def judge(url: str | None) -> tuple:
             host, path = split_url(url)
             fits = []
@@ -122,7 +142,7 @@ def filter_urls(
                 return host, path, best.host + best.path, best.verdict, None
             low = (url or "").translate(_upper)
             fetched = {r.name for t in set(_run.findall(low)) if t in index for r in index[t]}
-            hit = min((n for n in fetched if compiled[n].search(low)), key=order.get, default=None)
+            hit = min((n for n in fetched if matches(n, low)), key=order.get, default=None)
             return host, path, None, "block" if hit else "allow", hit
 
         for batch in batches:
