@@ -1,9 +1,12 @@
 """WARC archives written and read as streams of chunk rows.
 
-A record is a run of rows ``(record, chunk number)``. The writer takes the payload in chunks and the reader
-gives it back in chunks, each carrying the digest state forward inside its task, so neither side holds a
-whole oversized record in Python. Archives are gzip files of one member a record in the shared folder; a task writes under
-a name of its own attempt and moves the file into place, so a repeated task replaces its own file only.
+A record is a run of rows ``(record, chunk number)``. A payload is cut where it is exploded, a chunk at a time;
+the writer takes the chunks and the reader gives them back, each carrying the digest state forward inside its
+task and comparing it with the header's at the record's end. Beyond the row of the table itself, which Spark
+reads whole, no side holds an oversized payload. Only responses carry payloads, and these meet their role by
+digest and id together, so the copies of one payload are dealt to many tasks. Archives are gzip files of one
+member a record in the shared folder, whose scheme must be one that Arrow opens (file, hdfs, s3, gs, abfs);
+a task writes under a name of its own attempt and moves the file into place.
 """
 
 from __future__ import annotations
@@ -34,15 +37,23 @@ _SCHEMA = (
 )
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _urn(page_id: int | None, place: str = "") -> str:
+    """``place`` tells records without an id apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' if page_id is not None else f'place:{place}')}>"
 
 
-def _header(row: dict) -> bytes:
+def open_store(uri: str):
+    """Arrow's file system and path of a URI as Spark has it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3://" + uri.partition("://")[2] if uri.startswith(("s3a://", "s3n://")) else uri)
+
+
+def _header(row: dict, place: str = "") -> bytes:
     response = row["record_type"] == "response"
     digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
     lines = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_urn(row['page_id'])}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_urn(row['page_id'], place)}", f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {row['size']}",
     ]
     if row["page_id"] is not None:
@@ -61,43 +72,52 @@ SAFE = "!#$&'()*+,-./:;=?@_~[]"
 
 
 def assign_roles(df: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows with ``payload, size, digest (SHA-1, hex), record_type, refers_to``.
+    """Rows with ``payload, size, digest (SHA-1, hex), record_type, refers_to``; revisits have no payload.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response.
     """
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    groups = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"))
-    groups = materialize(groups, "warc-groups").withColumnsRenamed({"digest": "__digest", "size": "__size"})
-    out = rows.join(groups, (F.col("digest") == F.col("__digest")) & (F.col("size") == F.col("__size")), "left")
-    revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
-    return out.select(
-        "page_id", "url", "payload", "size", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first")).alias("refers_to"),
-    )
+    heads = materialize(rows.drop("payload"), "warc-heads")
+    groups = heads.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"))
+    groups = materialize(groups, "warc-groups")
+    first = [F.col("digest").alias("__digest"), F.col("size").alias("__size"), F.col("first")]
+    same = (F.col("digest") == F.col("__digest")) & (F.col("size") == F.col("__size"))
+    own = same & F.col("page_id").eqNullSafe(F.col("first"))
+    columns = ["page_id", "url", "payload", "size", "digest"]
+    large = rows.where(F.col("size") >= min_bytes).join(groups.select(*first), own, "left_semi").select(*columns)
+    small = rows.where(F.col("size") < min_bytes).select(*columns)
+    later = heads.join(groups.select(*first), same & ~F.col("page_id").eqNullSafe(F.col("first")))
+    later = later.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", F.lit("revisit").alias("record_type"), F.col("first").alias("refers_to"))
+    whole = large.union(small) if min_bytes > 0 else large
+    return whole.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).union(later)
 
 
 def write_archives(records: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """Write the rows of :func:`assign_roles` below ``path``; returns the written table of archives."""
     path = path or f"{shared_dir(records.sparkSession)}/tracewright/warc-{uuid.uuid4().hex}"
     steps = F.when(F.col("record_type") == "response", F.greatest(F.lit(1), F.ceil(F.col("size") / chunk))).otherwise(1)
-    chunks = F.transform(
-        F.sequence(F.lit(0), (steps - 1).cast("int")),
-        lambda k: F.struct(k.alias("no"), F.when(F.col("record_type") == "response", F.substring(F.col("payload"), k * chunk + 1, F.lit(chunk))).alias("data")),
-    )
     head = ["page_id", "url", "size", "digest", "record_type", "refers_to"]
-    rows = records.select(*head, F.explode(chunks).alias("c")).select(*head, "c.no", "c.data")
+    rows = records.select(*head, "payload", F.explode(F.sequence(F.lit(0), (steps - 1).cast("int"))).alias("no"))
+    rows = rows.select(*head, "no", F.substring("payload", F.col("no") * chunk + 1, F.lit(chunk)).alias("data"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         name = f"part-{context.partitionId():06d}.warc.gz"
         draft = f"{root}/_attempts/{name}-{context.taskAttemptId()}"
-        out, packer, count = None, None, 0
+        out, packer, count, state, open_row = None, None, 0, None, None
+
+        def close() -> None:
+            """Ends the open record, whose chunks must add up to the digest in its header."""
+            if open_row["record_type"] == "response" and state.hexdigest() != open_row["digest"]:
+                raise ValueError(f"chunks of page {open_row['page_id']} do not match its digest")
+            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
@@ -105,17 +125,22 @@ def write_archives(records: DataFrame, path: str | None = None, chunk: int = CHU
                     out = store.open_output_stream(draft, compression=None)
                 if row["no"] == 0:
                     if packer is not None:
-                        out.write(packer.compress(b"\r\n\r\n") + packer.flush())
-                    packer, count = zlib.compressobj(1, zlib.DEFLATED, 31), count + 1
-                    out.write(packer.compress(_header(row)))
+                        close()
+                    packer, count, state, open_row = zlib.compressobj(1, zlib.DEFLATED, 31), count + 1, hashlib.sha1(), row
+                    out.write(packer.compress(_header(row, f"{name}:{count}")))
                 if row["data"]:
+                    state.update(row["data"])
                     out.write(packer.compress(row["data"]))
         if out is not None:
-            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+            close()
             out.close()
-            if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
-                store.delete_file(f"{root}/{name}")
-            store.move(draft, f"{root}/{name}")
+            try:
+                store.move(draft, f"{root}/{name}")
+            except OSError:
+                # Some stores do not move onto a file: then an earlier attempt at this task has put the same one there.
+                if store.get_file_info(f"{root}/{name}").type != fs.FileType.File:
+                    raise
+                store.delete_file(draft)
             yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([count], pa.int64())], ["archive", "records"])
 
     return materialize(map_arrow(rows, write, "archive string, records long"), "warc-archives")
@@ -173,13 +198,11 @@ def read_archives(archives: DataFrame, chunk: int = CHUNK, with_payload: bool =
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         names, types = _FIELDS + ["data"] * with_payload, kinds + [pa.binary()] * with_payload
         limit = 64 if with_payload else 5000
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(uri)
+                store, at = open_store(uri)
                 rows: list[tuple] = []
                 with store.open_input_stream(at, compression=None) as stream:
                     for row in read_records(stream, chunk, with_payload):
