@@ -4,6 +4,7 @@ import io
 import struct
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -51,6 +52,14 @@ def test_archives_defined_cases(spark):
     assert warc.archive_pages(df.where("false")).count() == 0
 
 
+def test_writer_folds_the_digest_over_chunks(spark):
+    """A payload that does not add up to its header's digest is an error, whatever chunk it is in."""
+    rows = spark.createDataFrame([(1, "u", bytearray(b"x" * 300), 300, hashlib.sha1(b"y" * 300).hexdigest(), "response", None)],
+                                 "page_id long, url string, payload binary, size long, digest string, record_type string, refers_to long")
+    with pytest.raises(Exception, match="do not match its digest"):
+        warc.write_archives(rows, chunk=64)
+
+
 def test_damaged_archives_are_errors():
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(__import__("gzip").compress(b"nonsense\r\n"))))
@@ -110,7 +119,7 @@ def test_area_resize_weighs_pixels_by_covered_area():
         plane = rng.integers(0, 1000, shape)
         big = np.repeat(np.repeat(plane, target[0], 0), target[1], 1)
         want = big.reshape(target[0], shape[0], target[1], shape[1]).mean(axis=(1, 3))
-        assert (media.area_resize(plane, *target) == np.floor(want + 1e-9)).all()
+        assert (media.area_resize(plane, *target) == np.floor(want * 1000 + 1e-6)).all()
 
 
 def test_difference_hash_and_tile():
@@ -130,6 +139,43 @@ def check_media(rows, docs):
         assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
 
 
+def brute_cells(plane, rows, columns):
+    """Means over covered area, pixel by pixel, in exact fractions."""
+    height, width = plane.shape
+    out = np.zeros((rows, columns), np.int64)
+    for i in range(rows):
+        for j in range(columns):
+            total = Fraction(0)
+            for y in range(i * height // rows, -(-(i + 1) * height // rows)):
+                tall = min(Fraction((i + 1) * height, rows), y + 1) - max(Fraction(i * height, rows), y)
+                for x in range(j * width // columns, -(-(j + 1) * width // columns)):
+                    wide = min(Fraction((j + 1) * width, columns), x + 1) - max(Fraction(j * width, columns), x)
+                    total += tall * wide * int(plane[y, x]) * 1000
+            out[i, j] = total * rows * columns / (height * width) // 1
+    return out
+
+
+def test_features_are_those_of_brute_force_cells(spark, sf):
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 1500][:12]
+    got = {r.doc_id: r.feature for r in media.op9_media(spark, sf).collect()}
+    for r in docs:
+        raw = (r.text or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        plane = np.frombuffer(payload, np.uint8).reshape(-1, 24)
+        small = brute_cells(plane, 8, 9)
+        bits = "".join("1" if small[i, j] < small[i, j + 1] else "0" for i in range(8) for j in range(8))
+        buffer = io.BytesIO()
+        np.save(buffer, (brute_cells(plane, 16, 16) // 1000).astype(np.uint8))
+        assert got[r.doc_id] == f"dhash:{int(bits, 2):016x};tile:{hashlib.sha256(buffer.getvalue()).hexdigest()[:16]}"
+
+
+def test_strips_give_the_same_sums(monkeypatch):
+    image = np.random.default_rng(2).integers(0, 256, (1000, 24, 3), np.uint8)
+    whole = media.difference_hash(image), media.npy_tile(image)
+    monkeypatch.setattr(media, "STRIP", 100)
+    assert (media.difference_hash(image), media.npy_tile(image)) == whole
+
+
 def test_media_query_is_lossless(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = media.op9_media(spark, sf).collect()

@@ -1,7 +1,9 @@
 """Media columns: Netpbm and BMP images as binary columns, decoded to numpy arrays.
 
 Images are area-resized by integral images (every source pixel weighs in by the area it covers), written as
-NPY tiles, and marked with difference hashes. Bytes are stored as the samples of a grey map and read back.
+NPY tiles, and marked with difference hashes. Bytes are stored as the samples of a grey map and read back. The
+integral image is summed in strips of rows and held only at the rows where target pixels begin, so what a text
+needs beyond its own bytes, those stored and the payload between them, does not grow with it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tracewright.llm.common import map_arrow, table
 
 WIDTH, UNIT, FILL = 24, 576, 255
 HASH_ROWS, HASH_COLUMNS, TILE = 8, 9, 16
+#: Pixels of a strip that are summed at once.
+STRIP = 1 << 17
 _space = re.compile(rb"(?:\s|#[^\n\r]*[\n\r]?)+")
 
 
@@ -101,39 +105,48 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image.astype(np.int64) @ np.array([299, 587, 114])
 
 
-def area_resize(plane: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Mean over the area that each target pixel covers, from the integral image, rounded down to whole numbers.
+def edge_integrals(image: np.ndarray, parts: set[int]) -> dict[int, np.ndarray]:
+    """The integral image of ``image`` at the rows that edges of ``parts`` rows touch: row number to sums of all columns."""
+    height, width = image.shape[:2]
+    wanted = sorted({min(height, k * height // p + d) for p in parts for k in range(p + 1) for d in (0, 1)})
+    strip, found, above, at = max(1, STRIP // width), {}, np.zeros(width, np.int64), 0
+    for row in wanted:
+        while at < row:
+            end = min(row, at + strip)
+            above = above + grey(image[at:end]).sum(axis=0)
+            at = end
+        found[row] = np.concatenate([[0], above.cumsum()])
+    return found
 
-    Edges that fall inside a pixel are weighted exactly: sums are taken in units of 1/(rows * columns) pixel.
-    """
-    height, width = plane.shape
-    integral = np.zeros((height + 1, width + 1), np.int64)
-    integral[1:, 1:] = plane.cumsum(0).cumsum(1)
-
-    def at(axis: np.ndarray, n: int, parts: int, by: int) -> np.ndarray:
-        """The integral along ``by`` at edges k * n / parts, times ``parts``."""
-        edge = np.arange(parts + 1) * n
-        whole, part = edge // parts, edge % parts
-        nxt = np.minimum(whole + 1, n)
-        shape = [1, 1]
-        shape[by] = -1
-        return axis.take(whole, by) * (parts - part).reshape(shape) + axis.take(nxt, by) * part.reshape(shape)
 
-    total = at(at(integral, height, rows, 0), width, columns, 1)
-    sums = total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]
-    return sums // (height * width)
+def area_resize(image: np.ndarray, rows: int, columns: int, integral: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Mean luma over the area that each target pixel covers, from the integral image, in whole thousandths, rounded down.
 
-
-def difference_hash(image: np.ndarray) -> str:
+    Edges that fall inside a pixel are weighted exactly: sums are taken in units of 1/(rows * columns) pixel.
+    """
+    height, width = image.shape[:2]
+    sums = edge_integrals(image, {rows}) if integral is None else integral
+    lines = []
+    for k in range(rows + 1):
+        whole, part = divmod(k * height, rows)
+        lines.append(sums[whole] * (rows - part) + sums[min(whole + 1, height)] * part)
+    edge = np.arange(columns + 1) * width
+    whole, part = edge // columns, edge % columns
+    stack = np.stack(lines)
+    total = stack[:, whole] * (columns - part) + stack[:, np.minimum(whole + 1, width)] * part
+    return np.ascontiguousarray(np.diff(np.diff(total, axis=0), axis=1) // (height * width))
+
+
+def difference_hash(image: np.ndarray, integral: dict[int, np.ndarray] | None = None) -> str:
     """64 bits, row by row: whether a cell is darker than the one to its right."""
-    small = area_resize(grey(image), HASH_ROWS, HASH_COLUMNS)
+    small = area_resize(image, HASH_ROWS, HASH_COLUMNS, integral)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
+def npy_tile(image: np.ndarray, side: int = TILE, integral: dict[int, np.ndarray] | None = None) -> bytes:
     """A side x side tile of 8-bit grey as an NPY file."""
     buffer = io.BytesIO()
-    np.save(buffer, (area_resize(grey(image), side, side) // 1000).clip(0, 255).astype(np.uint8))
+    np.save(buffer, (area_resize(image, side, side, integral) // 1000).clip(0, 255).astype(np.uint8))
     return buffer.getvalue()
 
 
@@ -148,9 +161,10 @@ def describe(data: bytes) -> tuple:
     """Store ``data`` as an image, read it back and describe both; with the stored bytes and the tile."""
     stored = encode_pgm(pad_payload(data))
     image = decode_image(stored)
-    back = image.tobytes()
-    tile = npy_tile(image)
-    feature = f"dhash:{difference_hash(image)};tile:{hashlib.sha256(tile).hexdigest()[:16]}"
+    back = memoryview(image).cast("B")
+    integral = edge_integrals(image, {HASH_ROWS, TILE})
+    tile = npy_tile(image, TILE, integral)
+    feature = f"dhash:{difference_hash(image, integral)};tile:{hashlib.sha256(tile).hexdigest()[:16]}"
     return (
         len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored),
         hashlib.sha256(stored).hexdigest(), feature, stored, tile,
@@ -161,7 +175,8 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows ``(doc_id, n_bytes, ..., feature)``, one per row; ``with_media`` adds the columns media and tile.
 
     A null or empty text is one unit of fill. Equal texts give equal values; null ids and repeated rows
-    pass through; an empty table gives no rows. Rows are handled one at a time, whatever their length.
+    pass through; an empty table gives no rows. Rows are handled one at a time; a text is held
+    as it is read, as the payload and as stored, three times its bytes.
     """
     names = ["doc_id"] + [c.split()[0] for c in _ROW.split(", ")] + ["media", "tile"] * with_media
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * 2 * with_media
