@@ -20,6 +20,8 @@ WANT = "Title here\n\nFirst, of all: a paragraph with some words.\n\nSecond one
         ("<article><p><b>Bold.<br><p>Next</b> one.</p></article>", "Bold.\n\nNext one."),
         ("<article><p>a &lt;b&gt; &#233;&#x41; &unknown; 1 < 2</p></article>", "a <b> éA &unknown; 1 < 2"),
         ("<article><!-- no <p>x</p> --><p title='>'>kept</p><p>cut", "kept\n\ncut"),
+        ("<article><p>a &am<b>p;</b> b &amp;lt; c</p></article>", "a &amp; b &lt; c"),
+        ("<article><header><h1>Masthead</h1></header><p>Body, text.</p><footer>By me</footer></article>", "Body, text."),
         ("<ARTICLE><P>Upper</P><STYLE>p{}</STYLE></ARTICLE>", "Upper"),
         ("<article><p>Text, text, text.</p><div class='share social'>Share</div><p hidden>no</p><blockquote>Quote</blockquote></article>", "Text, text, text.\n\nQuote"),
         ("<div><p>" + "<a href=x>link, link, link</a> " * 20 + "</p></div><div><p>Real text, with commas, here.</p></div>", "Real text, with commas, here."),

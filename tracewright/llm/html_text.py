@@ -2,7 +2,8 @@
 
 Every paragraph earns points for its length and its commas; its ancestors inherit them, fading with
 distance, and each container's sum is discounted by the share of its text that stands in links. The best
-container is kept together with the siblings that score or read like it. Parsing is linear in the page.
+container is kept together with the siblings that score or read like it. Parsing is linear in the page. A
+``header`` or ``footer`` goes wherever it stands, inside an article too: what is wanted has neither.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ def _parse(page: str) -> tuple[_Node, list[_Node]]:
         at = m.end()
         piece = m.group()
         if piece[0] != "<" or len(piece) == 1:
-            stack[-1].parts.append(piece)
+            # References end at a tag: decoded here, no two pieces of text make one up.
+            stack[-1].parts.append(html.unescape(piece))
             continue
         name = m.group(2)
         if name is None:
@@ -155,9 +157,9 @@ def _blocks(node: _Node) -> Iterator[tuple[_Node, str, int]]:
             links += 1 if kind == "enter" else -1
         elif at.tag in BLOCK or at is node:
             if parts:
-                joined = " ".join(html.unescape("".join(parts)).split())
+                joined = " ".join("".join(parts).split())
                 if joined:
-                    yield home[-1], joined, min(len(joined), len(" ".join(html.unescape("".join(linked)).split())))
+                    yield home[-1], joined, min(len(joined), len(" ".join("".join(linked).split())))
                 parts, linked = [], []
             if kind == "enter":
                 home.append(at)
