@@ -11,17 +11,27 @@ from pyspark.sql import functions as F
 
 from tracewright.plans.storage import discard, materialize, observed
 
+#: Edges from which the minima are written before they are joined: a join with an aggregate in its own stage can't
+#: be split, and a hub's edges would meet in one task; with fewer edges that task is small whatever the hub.
+WRITTEN_EDGES = 1_000_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _least(rows: DataFrame, written: bool) -> DataFrame:
+    low = rows.groupBy("u").agg(F.min("v").alias("m"))
+    return materialize(low, "star-least") if written else low
+
+
+def _large_star(edges: DataFrame, written: bool = False) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
-    low = low.select("u", F.least("u", "m").alias("m"))
+    low = _least(both, written).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, written: bool = False) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    if written:
+        down = materialize(down, "star-large")
+    low = _least(down, written)
     hung = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -33,11 +43,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     result. Raises if ``max_rounds`` rounds do not settle (rounds grow as the square of log n at most).
     """
     state = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    current = materialize(state, "star")
-    mark = None
     key = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    current, mark = observed(state, "star", *key)
     for _ in range(max_rounds):
-        nxt, now = observed(_small_star(_large_star(current)), "star", *key)
+        written = mark["n"] >= WRITTEN_EDGES
+        nxt, now = observed(_small_star(_large_star(current, written), written), "star", *key)
         discard(current)
         current = nxt
         if now == mark:
