@@ -40,7 +40,7 @@ def test_fusion_takes_every_opinion(spark, sf, kind):
             done = b, d, u
         want[order] = done
     assert max(map(len, votes.values())) > 3
-    got = QUERIES[f"opinion_fusion_{kind}_all"](spark, sf).collect()
+    got = QUERIES[f"opinion_fusion_{kind}"](spark, sf).collect()
     assert len(got) == len(want)
     for r in got:
         assert (r.belief, r.disbelief, r.uncertainty) == pytest.approx(want[r.l_orderkey], abs=2e-6)
@@ -51,5 +51,5 @@ def test_pending_work_of_every_customer(spark, sf, tmp_path):
     spark.createDataFrame([(c,) for c in customers], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     events = [(1, "click"), (201, "click"), (7, "view")]
     spark.createDataFrame(events, "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    got = QUERIES["pending_work_antijoin_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["pending_work_antijoin"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted((c, t) for c in customers for t in ("click", "view") if (c, t) not in events)

@@ -75,8 +75,9 @@ def cosine_of(dot_ab: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when(norm_a * norm_b == 0, F.lit(0.0)).otherwise(dot_ab / (norm_a * norm_b))
 
 
-def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+def uuid5(name: Column, namespace: str | Column = NAMESPACE_URL) -> Column:
+    space = F.lit(namespace) if isinstance(namespace, str) else namespace
+    h = F.sha1(F.concat(F.unhex(F.replace(space, F.lit("-"), F.lit(""))), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
     return F.concat(
         F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant,
@@ -158,6 +159,34 @@ def provisional_reasons(score: Column) -> Column:
     return F.when(score.isNull(), F.array(F.lit("faithfulness_unassessed"))).when(score < LOW_FAITHFULNESS, F.array(F.lit("low_faithfulness"))).otherwise(none)
 
 
+def decode_reasons(stored: Column) -> Column:
+    """Reasons stored as a JSON list; none for a null."""
+    return F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>"))
+
+
+def legacy_provisional(score: Column, reasons: Column) -> Column:
+    """The old flag: null where nothing was determined, else whether there is any reason."""
+    return F.when(score.isNotNull() | (F.size(reasons) > 0), F.size(reasons) > 0)
+
+
+def flatten_sensitivity(level: Column, compartments: Column) -> Column:
+    """Flat properties of a sensitivity; none stored is public without compartments."""
+    held = F.sort_array(F.array_distinct(F.coalesce(compartments, F.array().cast("array<string>"))))
+    return F.struct(F.coalesce(level, F.lit("public")).alias("sensitivity_level"), F.to_json(held).alias("sensitivity_compartments"))
+
+
+def read_sensitivity(level: Column, compartments: Column) -> Column:
+    """Level and compartments from flat properties, the latter a JSON list, empty or null."""
+    held = F.from_json(F.when(compartments != "", compartments), "array<string>")
+    return F.struct(F.coalesce(level, F.lit("public")).alias("level"), F.coalesce(held, F.array().cast("array<string>")).alias("compartments"))
+
+
+def flatten_interest(known: Column, role: Column, stake: Column) -> Column:
+    """Flat properties of a source's interest; null where it is unknown, which is not the same as no stake."""
+    held = F.sort_array(F.array_distinct(F.coalesce(stake, F.array().cast("array<string>"))))
+    return F.when(known, F.struct(role.alias("interest_role"), held.alias("interest_stake")))
+
+
 def reassess_reasons(reasons: Column, score: Column) -> Column:
     """Replace only the reasons that concern faithfulness."""
     axis = F.array(F.lit("faithfulness_unassessed"), F.lit("low_faithfulness"))

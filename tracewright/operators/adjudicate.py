@@ -50,7 +50,8 @@ def tally(votes: DataFrame) -> DataFrame:
     """Panel votes ``(evidence, hypothesis, vote)`` to sign, strength and stability.
 
     Irrelevant wins only if it has more votes than either side; a tie of the sides supports. Strength is the
-    projected probability of the winning side's opinion.
+    projected probability of the winning side's opinion, discounted by the mean of a column ``reliability``
+    where there is one. A sign is stable where the other side has no vote at all.
     """
     side = lambda v: F.count_if(F.col("vote") == v)
     counts = votes.groupBy("evidence", "hypothesis").agg(
@@ -59,8 +60,12 @@ def tally(votes: DataFrame) -> DataFrame:
     irrelevant = (F.col("abstained") > F.col("positive")) & (F.col("abstained") > F.col("negative"))
     sign = F.when(irrelevant, "irrelevant").when(F.col("negative") > F.col("positive"), "refutes").otherwise("supports")
     most, least = F.greatest("positive", "negative"), F.least("positive", "negative")
-    strength = F.when(irrelevant, 0.0).otherwise(S.projected(S.opinion(most, least)))
-    stable = F.greatest("positive", "negative", "abstained") == F.col("n_samples")
+    opinion = S.opinion(most, least)
+    if "reliability" in votes.columns:
+        counts = counts.join(votes.groupBy("evidence", "hypothesis").agg(F.avg("reliability").alias("reliability")), ["evidence", "hypothesis"])
+        opinion = S.discount(opinion, F.coalesce("reliability", F.lit(1.0)))
+    strength = F.when(irrelevant, 0.0).otherwise(S.projected(opinion))
+    stable = F.least("positive", "negative") == 0
     return counts.withColumns({"sign": sign, "strength": strength, "sign_stable": stable})
 
 

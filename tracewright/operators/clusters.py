@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -88,22 +91,23 @@ def require_sampling_diversity(n_samples: int, temperature: float) -> None:
         raise ValueError("several samples at temperature 0 are one sample")
 
 
-def content_permutation(seed: str, n: int) -> list[int]:
-    """Fisher-Yates permutation drawn from SHA-256 words of the content."""
-    out, words, block = list(range(n)), b"", 0
-    for i in range(n - 1, 0, -1):
-        if len(words) < 8:
-            words, block = words + hashlib.sha256(f"{seed}:{block}".encode()).digest(), block + 1
-        j, words = int.from_bytes(words[:8], "big") % (i + 1), words[8:]
-        out[i], out[j] = out[j], out[i]
-    return out
+def _words(key: str) -> Iterator[int]:
+    """Big-endian 32-bit words of SHA-256 of the key, then of ``key|1``, ``key|2`` and so on: a fixed scheme of replayed orders."""
+    for block in itertools.count():
+        yield from struct.unpack(">8I", hashlib.sha256((f"{key}|{block}" if block else key).encode()).digest())
+
+
+def content_permutation(key: str, n: int) -> list[int]:
+    """The order of ``n`` items for ``key``: from the last place down, each swaps with the place that the next word picks."""
+    order = list(range(n))
+    for place, word in zip(range(n - 1, 0, -1), _words(key)):
+        pick = word % (place + 1)
+        order[place], order[pick] = order[pick], order[place]
+    return order
 
 
 def inverse_permutation(order: list[int]) -> list[int]:
-    out = [0] * len(order)
-    for i, x in enumerate(order):
-        out[x] = i
-    return out
+    return np.argsort(order).tolist()
 
 
 def permuted(rows: DataFrame, key: str, order: str) -> DataFrame:

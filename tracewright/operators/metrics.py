@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.plans.storage import materialize
+
 
 def brier(rows: DataFrame) -> DataFrame:
     """Mean squared error of ``(p, outcome)``."""
@@ -34,10 +36,14 @@ def kappa(rows: DataFrame) -> DataFrame:
 
 
 def _average_rank(rows: DataFrame, col: str) -> DataFrame:
-    """Average ranks with one sort by distinct values, whose counts are summed before."""
+    """Average ranks: distinct values are dealt by range, and each part adds what the parts before it hold."""
     counts = rows.groupBy(col).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(col, (before + (F.col("n") + 1) / 2).alias(f"rank_{col}"))
+    dealt = materialize(counts.repartitionByRange(col).withColumn("part", F.spark_partition_id()), "ranks")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("held"))
+    # A row a part, which are as many as the session has shuffle partitions.
+    offsets = parts.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("within", within).join(F.broadcast(offsets), "part").select(col, (F.col("offset") + F.col("within") + (F.col("n") + 1) / 2).alias(f"rank_{col}"))
 
 
 def spearman(rows: DataFrame) -> DataFrame:
@@ -49,14 +55,24 @@ def spearman(rows: DataFrame) -> DataFrame:
 
 
 def state_flips(rows: DataFrame) -> DataFrame:
-    """Counts of ``(gold_before, gold_after, pred_before, pred_after)`` by what became of the state.
+    """One row of ``(gold_before, gold_after, pred_before, pred_after)``: each state in one bucket, their total and the error rate.
 
-    A gold that doesn't move should be held; a flip is wrong in direction where the prediction moves the
-    other way, missed where it doesn't move.
+    ``held_when_should_flip``: the gold moves and the prediction doesn't; ``flipped_when_should_hold``: the
+    other way round; ``wrong_direction``: both move, apart; else ``correct``. No rows are an error.
     """
     gold, pred = F.signum(F.col("gold_after") - F.col("gold_before")), F.signum(F.col("pred_after") - F.col("pred_before"))
-    out = F.when((gold == 0) & (pred == 0), "held").when(gold == 0, "spurious").when(pred == gold, "correct").when(pred == 0, "missed").otherwise("wrong_direction")
-    return rows.groupBy(out.alias("outcome")).agg(F.count("*").alias("n"))
+    held, flipped, wrong = (gold != 0) & (pred == 0), (gold == 0) & (pred != 0), (gold != 0) & (pred != 0) & (gold != pred)
+    out = rows.agg(
+        F.when(F.count("*") == 0, F.raise_error(F.lit("no states")).cast("long")).otherwise(F.count("*")).alias("total"), F.count_if(gold == pred).alias("correct"),
+        F.count_if(held).alias("held_when_should_flip"), F.count_if(flipped).alias("flipped_when_should_hold"), F.count_if(wrong).alias("wrong_direction"),
+    )
+    return out.withColumn("error_rate", (F.col("total") - F.col("correct")) / F.col("total"))
+
+
+def node_pairs(pool: DataFrame) -> DataFrame:
+    """``(rank, evidence, hypothesis)`` of a candidate pool in its total order: by hypothesis, then evidence."""
+    order = Window.partitionBy("hypothesis").orderBy("evidence")
+    return pool.select("evidence", "hypothesis").distinct().withColumn("rank", F.row_number().over(order))
 
 
 def recall_at_budget(ranked: DataFrame, gold: DataFrame, budget: int) -> DataFrame:

@@ -60,9 +60,9 @@ def append_actions(log: DataFrame, actions: DataFrame) -> DataFrame:
     return log.unionByName(actions.join(log.select("action"), "action", "left_anti"))
 
 
-def action_metrics(log: DataFrame, json_col: str = "metrics") -> DataFrame:
-    """Sums of reported usage; actions that report none of a metric leave it out."""
-    return log.agg(*[F.coalesce(F.sum(F.get_json_object(json_col, f"$.{m}").cast("long")), F.lit(0)).alias(m) for m in METRICS])
+def action_metrics(log: DataFrame, json_col: str = "metrics", by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of reported usage, of all actions or ``by`` some keys; actions that report none of a metric leave it out."""
+    return log.groupBy(*by).agg(F.count("*").alias("actions"), *[F.coalesce(F.sum(F.get_json_object(json_col, f"$.{m}").cast("long")), F.lit(0)).alias(m) for m in METRICS])
 
 
 def json_equals(json_col: str, field: str, value: str) -> Column:

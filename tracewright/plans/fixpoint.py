@@ -100,24 +100,46 @@ def over_delete(gone: DataFrame, body: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def maintain_support(supported: DataFrame, base: DataFrame, body: DataFrame, new_base: DataFrame, new_body: DataFrame) -> DataFrame:
-    """``(node)`` supported by the new snapshot, from the old one's: over-delete, re-derive, cascade inserts."""
-    lost_facts = base.select("node").join(new_base.select("node"), "node", "left_anti")
+def maintain_support(held: DataFrame, base: DataFrame, body: DataFrame, new_base: DataFrame, new_body: DataFrame) -> DataFrame:
+    """``(node, support_count)`` of the new snapshot from that of the old one: over-delete, re-derive, cascade inserts.
+
+    ``held(node, …)`` is what the old snapshot supports. Only rules that a changed node or a changed rule
+    touches are looked at again: nodes shaken by what went lose their support until a rule over firm nodes
+    gives it back, new facts and rules add theirs, and counts are taken anew for heads of touched rules only
+    where ``held`` brings its counts along.
+    """
     cols = ["rule", "head", "atom"]
-    lost_heads = body.select(*cols).exceptAll(new_body.select(*cols)).select(F.col("head").alias("node"))
-    shaken = over_delete(lost_facts.union(lost_heads).distinct(), body)
-    firm = supported.select("node").join(shaken, "node", "left_anti").union(new_base.select("node")).distinct()
-    return well_founded_support(firm, new_body).select("node")
+    lost_facts = base.select("node").join(new_base.select("node"), "node", "left_anti")
+    lost_rules = body.select(*cols).exceptAll(new_body.select(*cols))
+    shaken = materialize(over_delete(lost_facts.union(lost_rules.select(F.col("head").alias("node"))).distinct(), body), "shaken")
+    firm = materialize(held.select("node").join(shaken, "node", "left_anti"), "firm")
+    # Heads that are firm need no rule: what is left to derive are shaken nodes and what new facts and rules reach.
+    open_body = new_body.select(*cols).join(firm.select(F.col("node").alias("head")), "head", "left_anti")
+    now = materialize(well_founded_support(firm.union(new_base.select("node")).distinct(), open_body).select("node"), "support")
+    if "support_count" not in held.columns:
+        return support_counts(new_base, new_body, now)
+    moved = held.select("node").join(now, "node", "left_anti").union(now.join(held.select("node"), "node", "left_anti"))
+    new_rules = new_body.select(*cols).exceptAll(body.select(*cols))
+    facts = lost_facts.union(new_base.select("node").join(base.select("node"), "node", "left_anti"))
+    heads = body.select(*cols).union(new_body.select(*cols)).join(moved.select(F.col("node").alias("atom")), "atom").select(F.col("head").alias("node"))
+    touched = heads.union(lost_rules.union(new_rules).select(F.col("head").alias("node"))).union(facts).union(moved).distinct()
+    touched = materialize(touched, "touched")
+    again = support_counts(new_base.join(touched, "node", "left_semi"), new_body.join(touched.select(F.col("node").alias("head")), "head", "left_semi"), now)
+    kept = held.select("node", "support_count").join(touched, "node", "left_anti")
+    return kept.unionByName(again.join(now, "node", "left_semi"))
 
 
 def valuate(base: DataFrame, body: DataFrame, supported: DataFrame, semiring: Semiring = GODEL, max_rounds: int = 10_000) -> DataFrame:
     """``(node, value)``: the greatest of a base confidence and the values of its rules, by Kleene ascent.
 
     ``base(node, confidence)``; ``body(rule, head, atom, strength)``. Rules with an antecedent outside
-    ``supported`` never count. Values rise until a round changes none.
+    ``supported`` never count. Rules of one head and equal bodies are one, with the strength of the last by
+    id. Values rise until a round changes none.
     """
     kept = supported.select("node").distinct()
-    links = body.select("rule", "head", "atom", "strength").join(kept.select(F.col("node").alias("head")), "head", "left_semi")
+    sets = body.groupBy("rule", "head").agg(F.sort_array(F.collect_set("atom")).alias("atoms"))
+    lead = sets.groupBy("head", "atoms").agg(F.max("rule").alias("rule")).select("rule")
+    links = body.select("rule", "head", "atom", "strength").join(lead, "rule", "left_semi").join(kept.select(F.col("node").alias("head")), "head", "left_semi")
     size = links.groupBy("rule").agg(F.count("atom").alias("need"))
     links = materialize(links.join(size, "rule"), "links")
     ground = base.join(kept, "node", "left_semi").groupBy("node").agg(F.max("confidence").alias("value"))
@@ -177,11 +199,16 @@ def solve(args: DataFrame, edges: DataFrame, semantics: Semantics = DF_QUAD, max
     links = materialize(known.select("src", "dst", "sign", valid.alias("strength")), "edges")
     state = materialize(args.select("arg", "base", F.col("base").alias("sigma")), "sigma")
     tail: list[DataFrame] = [state.select(F.lit(0).alias("sweep"), "arg", "sigma")] if keep_last else []
+    held: list[DataFrame] = []
     moving = F.abs(F.col("sigma") - F.col("before")) > tolerance
     for n in range(1, max_sweeps + 1):
         nxt, seen = observed(sweep(state, links, semantics), "sigma", F.count_if(moving).alias("moving"))
         if keep_last:
-            tail = [*tail, nxt.select(F.lit(n).alias("sweep"), "arg", "sigma")][-keep_last:]
+            tail.append(nxt.select(F.lit(n).alias("sweep"), "arg", "sigma"))
+            held.append(state)
+            if len(tail) > keep_last:
+                tail.pop(0)
+                discard(held.pop(0))
         else:
             discard(state)
         state = nxt
@@ -207,6 +234,24 @@ def tail_variances(tail: DataFrame, epsilon: float = 1e-6) -> DataFrame:
     return spread.withColumn("oscillating", F.col("variance") > epsilon)
 
 
+def oscillation_summary(tail: DataFrame, epsilon: float = 1e-6) -> DataFrame:
+    """One row: the greatest tail variance, how many arguments oscillate, and whether any does."""
+    out = tail_variances(tail, epsilon)
+    count = F.count_if("oscillating")
+    return out.agg(F.coalesce(F.max("variance"), F.lit(0.0)).alias("max_variance"), count.alias("oscillating"), (count > 0).alias("is_oscillating"))
+
+
+def oscillating_arguments(tail: DataFrame, epsilon: float = 1e-6) -> DataFrame:
+    return tail_variances(tail, epsilon).where("oscillating").select("arg")
+
+
+def settle_cap(trajectory: DataFrame, window: int = 16, epsilon: float = 1e-6) -> DataFrame:
+    """``(settled_cap)``: the first sweep from which no argument's variance over the last ``window`` sweeps exceeds ``epsilon``."""
+    over = Window.partitionBy("arg").orderBy("sweep").rowsBetween(-(window - 1), 0)
+    spread = trajectory.withColumn("variance", F.var_pop("sigma").over(over))
+    return spread.agg((F.coalesce(F.max(F.when(F.col("variance") > epsilon, F.col("sweep"))), F.lit(-1)) + 1).alias("settled_cap"))
+
+
 def settle_sweep(trajectory: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """``(arg, settled_at)``: the first sweep from which an argument no longer moves."""
     w = Window.partitionBy("arg").orderBy("sweep")
@@ -234,22 +279,40 @@ def acyclic_edges(edges: DataFrame) -> DataFrame:
     return out.join(peeled.withColumnRenamed("node", "whole"), "whole", "left_semi").select("part", "whole")
 
 
+#: Depth up to which a bounded closure is one plan, whose levels share their exchanges.
+ONE_PLAN = 8
+
+
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """``(part, whole, depth)`` of all paths of acyclic edges, with their least length; semi-naive."""
+    """``(part, whole, depth)`` of all paths of acyclic edges, with their least length.
+
+    A closure of few levels is a single plan. A deeper one is semi-naive: a round joins the paths of the
+    last with the edges and drops those known; what is known is written together every eighth round, so a
+    round reads a handful of tables however deep the paths are.
+    """
     plain = materialize(edges.select("part", "whole").distinct(), "edges")
-    delta = plain.withColumn("depth", F.lit(1))
-    found = [delta]
-    depth = 1
     step = plain.select(F.col("part").alias("whole"), F.col("whole").alias("next"))
+    reach = lambda last: last.join(step, "whole").select("part", F.col("next").alias("whole")).distinct()
+    if max_depth is not None and max_depth <= ONE_PLAN:
+        levels = [plain]
+        for _ in range(max_depth - 1):
+            levels.append(reach(levels[-1]))
+        found = reduce(DataFrame.union, [level.withColumn("depth", F.lit(n)) for n, level in enumerate(levels, 1)])
+        return found.groupBy("part", "whole").agg(F.min("depth").alias("depth"))
+    delta, depth = plain, 1
+    written, recent = plain.withColumn("depth", F.lit(1)), []
     while max_depth is None or depth < max_depth:
         depth += 1
-        reach = delta.join(step, "whole").select("part", F.col("next").alias("whole")).distinct()
-        known = reduce(DataFrame.union, found).select("part", "whole")
-        delta = materialize(reach.join(known, ["part", "whole"], "left_anti").withColumn("depth", F.lit(depth)), "paths")
-        if delta.isEmpty():
+        known = reduce(DataFrame.union, [written, *recent]).select("part", "whole")
+        fresh = reach(delta).join(known, ["part", "whole"], "left_anti").withColumn("depth", F.lit(depth))
+        fresh, seen = observed(fresh, "paths", F.count(F.lit(1)).alias("n"))
+        if not seen["n"]:
             break
-        found.append(delta)
-    return reduce(DataFrame.union, found)
+        recent.append(fresh)
+        delta = fresh.select("part", "whole")
+        if len(recent) == 8:
+            written, recent = materialize(reduce(DataFrame.union, [written, *recent]), "paths"), []
+    return reduce(DataFrame.union, [written, *recent])
 
 
 def part_whole_closure(edges: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ VOTES = """votes AS (SELECT l_partkey AS evidence, l_orderkey AS hypothesis,
 TALLY = """counts AS (SELECT evidence, hypothesis, count(*) FILTER (WHERE vote = 'supports') AS positive, count(*) FILTER (WHERE vote = 'refutes') AS negative,
   count(*) FILTER (WHERE vote = 'irrelevant') AS abstained, count(*) AS n_samples FROM votes GROUP BY ALL),
 tally AS (SELECT *, CASE WHEN abstained > positive AND abstained > negative THEN 'irrelevant' WHEN negative > positive THEN 'refutes' ELSE 'supports' END AS sign,
-  greatest(positive, negative, abstained) = n_samples AS sign_stable FROM counts),
+  least(positive, negative) = 0 AS sign_stable FROM counts),
 judged AS (SELECT *, CASE WHEN sign = 'irrelevant' THEN 0.0::DOUBLE
   ELSE greatest(positive, negative) / (positive + negative + 2.0::DOUBLE) + 0.5::DOUBLE * (2.0::DOUBLE / (positive + negative + 2.0::DOUBLE)) END AS strength FROM tally)"""
 
@@ -193,56 +193,37 @@ def effective_credibility(spark, sf_dir):
     return O.credibility(facts, V.boxes(spark, sf_dir), props).select("fact", F.round("credibility", 6).alias("credibility"))
 
 
-def _opinions(spark, sf_dir, lines=None):
-    """For each order one opinion a line number (the first ``lines``, or all) from its votes, ordered, as an array."""
+def _opinions(spark, sf_dir):
+    """For each order one opinion a line number from its votes, ordered, as an array."""
     side = lambda v: F.count_if(F.col("l_returnflag") == v).cast("double")
-    rows = V.table(spark, sf_dir, "lineitem")
-    counts = (rows if lines is None else rows.where(F.col("l_linenumber") <= lines)).groupBy("l_orderkey", "l_linenumber")
-    each = counts.agg(S.opinion(side("A"), side("R")).alias("o"))
+    each = V.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(S.opinion(side("A"), side("R")).alias("o"))
     return each.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "o"))), lambda s: s["o"]).alias("opinions"))
 
 
-def _fused(spark, sf_dir, fusion, lines=None):
-    out = _opinions(spark, sf_dir, lines).select("l_orderkey", P.fuse(F.col("opinions"), fusion).alias("o"))
+def _fused(spark, sf_dir, fusion):
+    out = _opinions(spark, sf_dir).select("l_orderkey", P.fuse(F.col("opinions"), fusion).alias("o"))
     parts = {c: F.round(F.col(f"o.{c}"), 6) for c in ("belief", "disbelief", "uncertainty")}
     return out.select("l_orderkey", *[v.alias(k) for k, v in parts.items()], F.round(S.projected(F.col("o")), 6).alias("projected"))
 
 
-OPINIONS = """ops AS (SELECT l_orderkey, l_linenumber, p / (p + n + 2) AS b, n / (p + n + 2) AS d, 2 / (p + n + 2) AS u FROM (
-  SELECT l_orderkey, l_linenumber, (count(*) FILTER (WHERE l_returnflag = 'A'))::DOUBLE AS p, (count(*) FILTER (WHERE l_returnflag = 'R'))::DOUBLE AS n
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM ops), f1 AS (SELECT l_orderkey, b, d, u FROM ranked WHERE r = 1)"""
-
-
 def _fusion_sql(u: str, k: str) -> str:
-    steps = ",\n".join(
-        f"f{n} AS (SELECT f.l_orderkey, CASE WHEN x.u IS NULL THEN f.b ELSE (f.b * x.u + x.b * f.u) / ({k}) END AS b, "
-        f"CASE WHEN x.u IS NULL THEN f.d ELSE (f.d * x.u + x.d * f.u) / ({k}) END AS d, CASE WHEN x.u IS NULL THEN f.u ELSE {u} / ({k}) END AS u "
-        f"FROM f{n - 1} f LEFT JOIN ranked x ON f.l_orderkey = x.l_orderkey AND x.r = {n})"
-        for n in (2, 3)
-    )
-    return f"WITH {OPINIONS},\n{steps}\nSELECT l_orderkey, round(b, 6) AS belief, round(d, 6) AS disbelief, round(u, 6) AS uncertainty, round(b + 0.5 * u, 6) AS projected FROM f3"
+    """A left fold over all opinions of an order, one step a recursion."""
+    return f"""WITH RECURSIVE ops AS (SELECT l_orderkey, l_linenumber, p / (p + n + 2) AS b, n / (p + n + 2) AS d, 2 / (p + n + 2) AS u FROM (
+  SELECT l_orderkey, l_linenumber, (count(*) FILTER (WHERE l_returnflag = 'A'))::DOUBLE AS p, (count(*) FILTER (WHERE l_returnflag = 'R'))::DOUBLE AS n FROM lineitem GROUP BY ALL)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM ops),
+f AS (SELECT l_orderkey, r, b, d, u FROM ranked WHERE r = 1 UNION ALL
+  SELECT f.l_orderkey, x.r, (f.b * x.u + x.b * f.u) / ({k}), (f.d * x.u + x.d * f.u) / ({k}), {u} / ({k}) FROM f JOIN ranked x ON f.l_orderkey = x.l_orderkey AND x.r = f.r + 1)
+SELECT l_orderkey, round(b, 6) AS belief, round(d, 6) AS disbelief, round(u, 6) AS uncertainty, round(b + 0.5 * u, 6) AS projected
+FROM f QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY r DESC) = 1"""
 
 
 @query(_fusion_sql("f.u * x.u", "f.u + x.u - f.u * x.u"))
 def opinion_fusion_cumulative(spark, sf_dir):
-    return _fused(spark, sf_dir, P.cumulative_fuse, lines=3)
-
-
-@query()
-def opinion_fusion_cumulative_all(spark, sf_dir):
-    """All opinions of every order; the SQL of the query above stops at three."""
     return _fused(spark, sf_dir, P.cumulative_fuse)
 
 
 @query(_fusion_sql("2 * f.u * x.u", "f.u + x.u"))
 def opinion_fusion_averaging(spark, sf_dir):
-    return _fused(spark, sf_dir, P.averaging_fuse, lines=3)
-
-
-@query()
-def opinion_fusion_averaging_all(spark, sf_dir):
-    """All opinions of every order; the SQL of the query above stops at three."""
     return _fused(spark, sf_dir, P.averaging_fuse)
 
 

@@ -35,13 +35,22 @@ def content_hashes(spark, sf_dir):
     return d.select("doc_id", F.sha2("text", 256).alias("content_hash"), canonical.alias("canonical_hash"))
 
 
+def _uuid_sql(digest: str) -> str:
+    return (
+        f"substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || substr('89ab', (('0x' || substr({digest}, 17, 1))::INTEGER % 4) + 1, 1) "
+        f"|| substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12)"
+    )
+
+
 @query(
-    f"WITH h AS (SELECT doc_id, sha1(unhex('{NS}') || encode('document:' || doc_id || ':' || source)) AS h FROM documents) SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || "
-    "substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS span_id FROM h"
+    f"WITH d AS (SELECT doc_id, n_chars, sha1(unhex('{NS}') || encode('document:' || doc_id)) AS h FROM documents), u AS (SELECT doc_id, n_chars, {_uuid_sql('h')} AS document FROM d), "
+    "s AS (SELECT doc_id, document, sha1(unhex(replace(document, '-', '')) || encode('0:' || n_chars || ':0')) AS h FROM u) "
+    f"SELECT doc_id, document, {_uuid_sql('h')} AS span_id FROM s"
 )
 def span_ids(spark, sf_dir):
-    name = F.concat(F.lit("document:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("source"))
-    return V.table(spark, sf_dir, "documents").select("doc_id", S.uuid5(name).alias("span_id"))
+    """Ids of the spans that cover their documents: uuid5 of the range and level in the namespace of the document's id."""
+    d = V.table(spark, sf_dir, "documents").withColumn("document", D.document_uuid(F.col("doc_id")))
+    return d.select("doc_id", "document", D.span_id(F.col("document"), F.lit(0), F.col("n_chars"), F.lit(0)).alias("span_id"))
 
 
 def _windows_sql(size: int, overlap: int, align: bool) -> str:
@@ -128,14 +137,21 @@ def counts_by_level(spark, sf_dir):
     return counts(d.select(F.col("lang").alias("level"), F.when(F.col("n_chars") >= 500, F.lit("t")).alias("text")))
 
 
-@query("SELECT doc_id, 'new' AS model, doc_id % 2 = 1 AS fresh FROM documents")
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest({WORDS}) AS token FROM documents WHERE doc_id % 2 = 1), h AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 8))::BIGINT AS h FROM t),
+p AS (SELECT doc_id, h % 4 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM p GROUP BY doc_id),
+e AS (SELECT doc_id, d, CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS held FROM documents, (SELECT unnest(range(4)) AS d))
+SELECT doc_id, 'new' AS model, d::INTEGER AS d, round(CASE WHEN doc_id % 2 = 0 THEN held WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE coalesce(x, 0.0) / n END, 6) AS x
+FROM e LEFT JOIN n USING (doc_id) LEFT JOIN p USING (doc_id, d)"""
+)
 def reembedded(spark, sf_dir):
-    """Vectors of another space embedded again with a deterministic stand-in."""
+    """Vectors of another space embedded again with a deterministic stand-in; those of the new one stay as they were."""
     d = V.table(spark, sf_dir, "documents")
     model = F.when(F.col("doc_id") % 2 == 0, "new").otherwise("old")
-    empty = F.array(*[F.lit(0.0)] * 4)
-    out = D.reembed(d.select("doc_id", "text", model.alias("model"), empty.alias("vector")), "new", D.hash_embedder(4))
-    return out.select("doc_id", "model", (F.col("doc_id") % 2 == 1).alias("fresh"))
+    stored = F.array(*[F.lit(0.5)] * 4)
+    out = D.reembed(d.select("doc_id", "text", model.alias("model"), stored.alias("vector")), "new", D.hash_embedder(4))
+    return out.select("doc_id", "model", F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("SELECT doc_id, 'paragraph' AS kind, length(text) AS n FROM documents WHERE length(text) > 0")
@@ -154,14 +170,21 @@ def sealed_corpus(spark, sf_dir):
     return D.seal(D.seal(none, d.where("lang = 'en'").drop("lang")), d.drop("lang"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en'")
+@query(
+    "SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'whitespace' WHEN doc_id % 7 = 0 THEN 'zero_vector' WHEN lang IS DISTINCT FROM 'en' THEN 'added' "
+    "WHEN doc_id % 5 = 0 THEN 'conflict' ELSE 'known' END AS outcome FROM documents"
+)
 def persisted_spans(spark, sf_dir):
-    """What an idempotent span sink adds to a store that holds the English spans."""
+    """What an idempotent span sink makes of all spans when its store holds the English ones, every fifth with another text."""
     d = V.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("span_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("start"), F.col("n_chars").cast("int").alias("end"),
-        F.lit(0).alias("level"), "text", F.array(F.lit(1.0)).alias("vector"), "lang",
+        F.col("doc_id").alias("span_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("start"), F.col("n_chars").cast("int").alias("end"), F.lit(0).alias("level"), "text",
+        F.array(F.when(F.col("doc_id") % 7 == 0, 0.0).otherwise(1.0)).alias("vector"), "lang",
     )
-    return D.persist_spans(d.where("lang = 'en'").drop("lang"), d.drop("lang")).added.select(F.col("span_id").alias("doc_id"))
+    stored = d.where("lang = 'en'").drop("lang").withColumn("text", F.when(F.col("span_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    found = D.persist_spans(stored, d.drop("lang"))
+    mark = lambda df, outcome: df.select(F.col("span_id").alias("doc_id"), outcome.alias("outcome"))
+    told = mark(found.added, F.lit("added")).union(mark(found.skipped, F.col("reason"))).union(mark(found.conflicts, F.lit("conflict")))
+    return told.union(mark(d.join(told.select(F.col("doc_id").alias("span_id")), "span_id", "left_anti"), F.lit("known")))
 
 
 @query("SELECT conv_id AS question, count(DISTINCT turn) AS cited FROM conversations WHERE turn >= 1 AND turn <= 3 GROUP BY conv_id")

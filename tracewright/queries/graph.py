@@ -30,20 +30,45 @@ def truth_support(spark, sf_dir):
     return X.well_founded_support(base, body).select("node")
 
 
-@query(f"WITH {CHAIN} SELECT o_orderkey AS node, CAST(1 AS BIGINT) AS support_count FROM k WHERE first <> '5-LOW'")
+def _alternatives(spark, sf_dir):
+    """The derivations, with a second rule for every order that rests on the one before it alone."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = V.table(spark, sf_dir, "orders").select((-1 - F.col("o_orderkey")).alias("rule"), F.col("o_orderkey").alias("head"), F.lag("o_orderkey").over(w).alias("atom"))
+    base, body = V.derivations(spark, sf_dir)
+    return materialize(base, "derivations"), materialize(body.select("rule", "head", "atom").union(o.where("atom is not null")), "derivations")
+
+
+COUNT = "CAST(CASE WHEN n <= 2 THEN 1 ELSE 2 END AS BIGINT) AS support_count"
+
+
+@query(f"WITH {CHAIN} SELECT o_orderkey AS node, {COUNT} FROM k WHERE first <> '5-LOW'")
 def support_counts(spark, sf_dir):
-    base, body = _derivations(spark, sf_dir)
+    """Bases and fired rules; a second order's two rules have one body and count once."""
+    base, body = _alternatives(spark, sf_dir)
     return X.support_counts(base, body, materialize(X.well_founded_support(base, body), "support"))
 
 
-@query(f"WITH {CHAIN} SELECT o_orderkey AS node FROM k WHERE first NOT IN ('5-LOW', '1-URGENT')")
+def _without(spark, sf_dir, facts, priority):
+    gone = V.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == priority).select(F.col("o_orderkey").alias("node"))
+    return materialize(facts.join(gone, "node", "left_anti"), "derivations")
+
+
+@query(f"WITH {CHAIN} SELECT o_orderkey AS node, {COUNT} FROM k WHERE first NOT IN ('5-LOW', '1-URGENT')")
 def support_maintenance(spark, sf_dir):
-    """Support after the urgent base facts were withdrawn, maintained from the old result."""
-    base, body = _derivations(spark, sf_dir)
-    held = materialize(X.well_founded_support(base, body), "support")
-    urgent = V.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("node"))
-    less = materialize(base.join(urgent, "node", "left_anti"), "derivations")
-    return X.maintain_support(held, base, body, less, body)
+    """Support and its counts after the urgent base facts were withdrawn, maintained from the old result."""
+    base, body = _alternatives(spark, sf_dir)
+    held = X.support_counts(base, body, materialize(X.well_founded_support(base, body), "support"))
+    return X.maintain_support(materialize(held, "held"), base, body, _without(spark, sf_dir, base, "1-URGENT"), body)
+
+
+@query(f"WITH {CHAIN} SELECT o_orderkey AS node, CAST(CASE WHEN n <= 2 OR o_orderkey % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS support_count FROM k WHERE first <> '5-LOW'")
+def support_insertion(spark, sf_dir):
+    """Counts when facts come back and rules go at once: medium bases arrive, long rules of every fifth order leave."""
+    base, body = _alternatives(spark, sf_dir)
+    old = _without(spark, sf_dir, base, "3-MEDIUM")
+    held = X.support_counts(old, body, materialize(X.well_founded_support(old, body), "support"))
+    fewer = materialize(body.where("not (head % 5 = 0 and rule >= 0)"), "derivations")
+    return X.maintain_support(materialize(held, "held"), old, body, base, fewer)
 
 
 def _values(spark, sf_dir, semiring):
@@ -138,34 +163,23 @@ def latest_action_per_key(spark, sf_dir):
     return T.newest(e, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT c_custkey, event_type FROM customer, (SELECT DISTINCT event_type FROM events) t WHERE c_custkey <= 200 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c_custkey AND e.event_type = t.event_type)")
+@query("SELECT c_custkey, event_type FROM customer, (SELECT DISTINCT event_type FROM events) t WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c_custkey AND e.event_type = t.event_type)")
 def pending_work_antijoin(spark, sf_dir):
-    """Customer and event type that no logged event covers yet, of the customers that the SQL names."""
-    return _pending(spark, sf_dir, V.table(spark, sf_dir, "customer").where("c_custkey <= 200"))
-
-
-@query()
-def pending_work_antijoin_all(spark, sf_dir):
-    """The same of all customers; the SQL of the query above stops at id 200."""
-    return _pending(spark, sf_dir, V.table(spark, sf_dir, "customer"))
-
-
-def _pending(spark, sf_dir, customers):
+    """Customer and event type that no logged event covers yet."""
     log = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), "event_type")
-    types = log.select("event_type").distinct().agg(F.collect_set("event_type").alias("types"))
-    kinds = [r for r in types.first()["types"]]
-    work = customers.select("c_custkey", F.explode(F.array(*map(F.lit, kinds))).alias("event_type"))
+    kinds = log.agg(F.collect_set("event_type").alias("types")).scalar()  # event types are a vocabulary, not data
+    work = V.table(spark, sf_dir, "customer").select("c_custkey", F.explode(kinds).alias("event_type"))
     return T.pending(work, log, ["c_custkey", "event_type"]).select("c_custkey", "event_type")
 
 
 @query(
-    "SELECT sha256(text) AS content_hash, max(doc_id) AS action, count(*) FILTER (WHERE true) AS copies FROM documents GROUP BY sha256(text) HAVING count(*) > 1"
+    "SELECT sha256(text) AS content_hash, max(doc_id) AS action, count(*) AS copies FROM documents GROUP BY sha256(text) HAVING count(*) > 1 AND max(doc_id) % 3 <> 0"
 )
 def replay_reuse(spark, sf_dir):
-    """Extractions to replay: for content met before, the newest action whose outputs all still exist."""
+    """Extractions to replay: for content met before, the newest action, if both its outputs still exist; every third lost one."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
     log = d.select(F.col("doc_id").alias("action"), "content_hash", F.col("doc_id").alias("ts"), F.lit(2).cast("long").alias("n_outputs"))
-    outputs = log.select("action", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("output"))
+    outputs = log.select("action", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("output")).where("output = 'a' or action % 3 <> 0")
     counts = d.groupBy("content_hash").agg(F.count("*").alias("copies")).where("copies > 1")
     return T.replayable(counts, log, outputs).select("content_hash", "action").join(counts, "content_hash")
 
@@ -197,12 +211,15 @@ def audit_violations(spark, sf_dir):
     return O.violations(_chain(spark, sf_dir)).select("fact", F.array_join("gaps", ",").alias("gaps"))
 
 
-@query("SELECT event_type, count(*) AS actions, coalesce(sum(floor(value * 10)::BIGINT), 0)::BIGINT AS duration_ms FROM events GROUP BY event_type")
+@query(
+    "SELECT event_type, count(*) AS actions, CAST(0 AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(CASE WHEN event_id % 2 = 0 THEN length(props) END), 0) AS BIGINT) AS completion_tokens, "
+    "coalesce(sum(floor(value * 10)::BIGINT), 0)::BIGINT AS duration_ms FROM events GROUP BY event_type"
+)
 def action_metrics(spark, sf_dir):
-    """Usage sums out of a JSON column."""
-    e = V.table(spark, sf_dir, "events").withColumn("metrics", F.to_json(F.struct(F.expr("cast(floor(value * 10) as bigint)").alias("duration_ms"))))
-    got = F.get_json_object("metrics", "$.duration_ms").cast("long")
-    return e.groupBy("event_type").agg(F.count("*").alias("actions"), F.coalesce(F.sum(got), F.lit(0)).alias("duration_ms"))
+    """Usage sums out of a JSON column; half the actions report no completion and none a prompt."""
+    usage = F.struct(F.expr("cast(floor(value * 10) as bigint)").alias("duration_ms"), F.when(F.col("event_id") % 2 == 0, F.length("props")).alias("completion_tokens"))
+    e = V.table(spark, sf_dir, "events").withColumn("metrics", F.to_json(usage))
+    return O.action_metrics(e, by=("event_type",))
 
 
 @query(
@@ -264,12 +281,14 @@ def stream_delta_support(spark, sf_dir):
 
 
 NORM = "trim(regexp_replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an)( |$)', ''))"
-PAIRS = f"""ent AS (SELECT p_partkey AS id, p_brand AS box, p_name AS label, p_type AS type, {NORM} AS norm FROM part),
-tok AS (SELECT DISTINCT id, box, unnest(string_split(norm, ' ')) AS token FROM ent), tok2 AS (SELECT * FROM tok WHERE token <> ''),
-pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM tok2 x JOIN tok2 y ON x.box = y.box AND x.token = y.token AND x.id < y.id),
+PAIRS = f"""ent AS (SELECT p_partkey AS id, p_brand AS box, p_name AS label, p_type AS type, {NORM} AS norm, CASE WHEN p_size > 40 THEN 'actor' ELSE 'object' END AS kind FROM part),
+tok AS (SELECT DISTINCT id, box, kind, unnest(string_split(norm, ' ')) AS token FROM ent), tok2 AS (SELECT * FROM tok WHERE token <> ''),
+pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM tok2 x JOIN tok2 y ON x.box = y.box AND x.kind = y.kind AND x.token = y.token AND x.id < y.id),
+played AS (SELECT DISTINCT l_partkey AS id, l_returnflag || l_linestatus AS role FROM lineitem), alike AS (SELECT DISTINCT a, b FROM pairs JOIN played x ON a = x.id JOIN played y ON b = y.id AND x.role = y.role),
 ctx AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS c FROM lineitem), shared AS (SELECT a, b, count(*) AS n FROM pairs JOIN ctx x ON a = x.id JOIN ctx y ON b = y.id AND x.c = y.c GROUP BY ALL),
 pscored AS (SELECT p.a, p.b, least(1.0, greatest(0.0, 0.5::DOUBLE * (x.norm = y.norm)::INT + 0.25::DOUBLE * CASE WHEN x.type = y.type THEN 1 ELSE -1 END
-  + 0.35::DOUBLE * (1 - pow(0.5::DOUBLE, coalesce(n, 0))))) AS score FROM pairs p JOIN ent x ON p.a = x.id JOIN ent y ON p.b = y.id LEFT JOIN shared s ON p.a = s.a AND p.b = s.b),
+  + 0.35::DOUBLE * (1 - pow(0.5::DOUBLE, coalesce(n, 0) + CASE WHEN r.a IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END)))) AS score
+  FROM pairs p JOIN ent x ON p.a = x.id JOIN ent y ON p.b = y.id LEFT JOIN shared s ON p.a = s.a AND p.b = s.b LEFT JOIN alike r ON p.a = r.a AND p.b = r.b),
 resolved AS (SELECT *, CASE WHEN score >= 0.85 THEN 'confirmed' WHEN score >= 0.5 THEN 'candidate' END AS state FROM pscored WHERE score >= 0.5)"""
 COMPONENTS = f"""{PAIRS}, sym AS (SELECT a, b FROM resolved WHERE state = 'confirmed' UNION SELECT b, a FROM resolved WHERE state = 'confirmed'),
 reach AS (SELECT a AS id, a AS other FROM sym UNION SELECT r.id, s.b FROM reach r JOIN sym s ON r.other = s.a), comp AS (SELECT id, min(other) AS canonical FROM reach GROUP BY id)"""
@@ -281,7 +300,7 @@ def entity_blocking(spark, sf_dir):
 
 
 def resolved(spark, sf_dir):
-    return R.resolve(V.entities(spark, sf_dir), V.contexts(spark, sf_dir))
+    return R.resolve(V.entities(spark, sf_dir), V.contexts(spark, sf_dir), V.roles(spark, sf_dir))
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score, state FROM resolved")
@@ -354,13 +373,13 @@ def anchor_coverage(spark, sf_dir):
     return R.anchor_coverage(m, R.anchor(m, _taxonomy(spark, sf_dir)))
 
 
-REFERENTS = f"ref AS (SELECT box, norm, min(id::VARCHAR) AS canonical, count(*) AS members, min_by(type, id::VARCHAR) AS type FROM ent WHERE norm <> '' GROUP BY ALL)"
+REFERENTS = "ref AS (SELECT box, kind, norm, min(id::VARCHAR) AS canonical, count(*) AS members, min_by(type, id::VARCHAR) AS type FROM ent WHERE norm <> '' GROUP BY ALL)"
 
 
-@query(f"WITH {PAIRS}, {REFERENTS} SELECT box, norm, canonical, members, type FROM ref")
+@query(f"WITH {PAIRS}, {REFERENTS} SELECT box, kind, norm, canonical, members, type FROM ref")
 def referent_groups(spark, sf_dir):
     out = R.group_referents(V.entities(spark, sf_dir))
-    return out.select("box", "norm", "canonical", F.size("ids").cast("long").alias("members"), "type")
+    return out.select("box", "kind", "norm", "canonical", F.size("ids").cast("long").alias("members"), "type")
 
 
 @query(

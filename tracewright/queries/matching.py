@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tracewright import views as V
 from tracewright.catalogue import query
-from tracewright.functions import scalars as S
 from tracewright.operators import candidates as C
 from tracewright.operators import clusters as K
 from tracewright.operators import metrics as M
@@ -29,9 +28,18 @@ def knn_candidates(spark, sf_dir):
     return C.knn_candidates(*_sides(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH {KNN} SELECT evidence, hypothesis, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM knn")
+PUSHED = f"""{SIDES}, two AS (SELECT vec_id // 2 AS node, vec_id, model, v FROM vec),
+sims AS (SELECT h.vec_id AS q, h.node AS hypothesis, e.node AS evidence, round(list_cosine_similarity(h.v, e.v), 12) AS similarity FROM two h JOIN two e ON h.model = e.model WHERE h.node % 100 = 0 AND e.node <> h.node),
+cut AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, evidence) <= 10),
+best AS (SELECT evidence, hypothesis, max(similarity) AS similarity FROM cut GROUP BY ALL)"""
+
+
+@query(f"WITH {PUSHED} SELECT evidence, hypothesis, round(similarity, 6) AS similarity, (row_number() OVER (PARTITION BY hypothesis ORDER BY similarity DESC, evidence))::INTEGER AS rank FROM best")
 def knn_pushdown(spark, sf_dir):
-    return C.knn_pushdown(*_sides(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    """Two vectors a node: each query vector cuts to ten single vectors before nodes are merged, so ranks are not those of the exact search."""
+    _, rows = _sides(spark, sf_dir)
+    two = rows.select(F.floor(F.col("node") / 2).alias("node"), "model", "vector")
+    return C.knn_pushdown(two.where("node % 100 = 0"), two).withColumn("similarity", F.round("similarity", 6))
 
 
 POOL = f"{KNN}, st AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis FROM vec h JOIN vec e ON h.vec_id // 50 = e.vec_id // 50 WHERE h.vec_id % 100 = 0 AND e.vec_id <> h.vec_id)"
@@ -69,12 +77,15 @@ def structural_candidates(spark, sf_dir):
     return pairs.groupBy("hypothesis").agg(F.count("*").alias("candidates"), F.min("evidence").alias("first"))
 
 
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7) SELECT vec_id AS chunk, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id LIMIT 8")
+@query(
+    "WITH d AS (SELECT q.vec_id AS query, e.vec_id AS chunk, 1 - round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) "
+    "SELECT query, chunk, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, chunk) <= 8"
+)
 def chunk_retrieval_topk(spark, sf_dir):
-    """The eight chunks nearest to one stated query."""
+    """The eight chunks nearest to each stated query."""
     e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").cast("array<double>").alias("vector"))
-    probe = e.where("chunk = 7").first()["vector"]
-    return C.retrieve_topk(e, probe, 8).withColumn("distance", F.round("distance", 6))
+    queries = e.where("chunk % 100 = 0").withColumnRenamed("chunk", "query")
+    return C.retrieve_topk(e, queries, 8).withColumn("distance", F.round("distance", 6))
 
 
 GOLD = "gold AS (SELECT e.vec_id AS evidence, h.vec_id AS hypothesis, CASE WHEN e.vec_id % 2 = 0 THEN 'supports' ELSE 'refutes' END AS sign, e.vec_id % 3 = 0 AS dissimilar FROM vec h JOIN vec e ON h.model = e.model AND h.vec_id % 25 = e.vec_id % 25 WHERE h.vec_id % 100 = 0 AND e.vec_id <> h.vec_id)"
@@ -115,9 +126,11 @@ def leader_clusters(spark, sf_dir):
     return out.groupBy("label", "cluster").agg(F.count("*").alias("members"), F.min("position").alias("first"))
 
 
-@query("SELECT label, 0 AS cluster, least(1.0, count(DISTINCT vec_id % 5) / 5::DOUBLE) AS agreement FROM embeddings GROUP BY label")
+@query("SELECT label, (vec_id % 7)::INTEGER AS cluster, least(1.0, count(DISTINCT vec_id % 5) / 5::DOUBLE) AS agreement FROM embeddings WHERE vec_id % 5 <= vec_id % 7 GROUP BY ALL")
 def sample_agreement(spark, sf_dir):
-    return K.agreement(_samples(spark, sf_dir).withColumn("cluster", F.lit(0)), ["label"], 5)
+    """Clusters that some samples have no member in."""
+    rows = _samples(spark, sf_dir).withColumn("cluster", (F.col("position") % 7).cast("int")).where("sample <= cluster")
+    return K.agreement(rows, ["label"], 5)
 
 
 @query(
@@ -180,8 +193,8 @@ def segment_dp(spark, sf_dir):
 
 @query(
     f"WITH {SIDES}, flat AS (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM vec), p AS (SELECT label, d, avg(x) AS x FROM flat GROUP BY ALL) "
-    "SELECT label, round(sum(x * x) / (sqrt(sum(x * x)) * sqrt(sum(x * x))), 6) AS self_cosine, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM p GROUP BY label"
+    "SELECT label, d::INTEGER AS d, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM p"
 )
 def mean_pooled(spark, sf_dir):
     out = X.mean_pool(_samples(spark, sf_dir), ["label"])
-    return out.select("label", F.round(S.cosine(F.col("vector"), F.col("vector")), 6).alias("self_cosine"), F.round(F.array_max("vector"), 6).alias("largest"))
+    return out.select("label", F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 6))

@@ -54,7 +54,8 @@ def spearman(spark, sf_dir):
 
 @query(
     "WITH f AS (SELECT o_orderkey % 2 AS gb, o_orderkey % 3 % 2 AS ga, o_orderkey % 5 % 2 AS pb, o_orderkey % 7 % 2 AS pa FROM orders), s AS (SELECT sign(ga - gb) AS g, sign(pa - pb) AS p FROM f) "
-    "SELECT CASE WHEN g = 0 AND p = 0 THEN 'held' WHEN g = 0 THEN 'spurious' WHEN p = g THEN 'correct' WHEN p = 0 THEN 'missed' ELSE 'wrong_direction' END AS outcome, count(*) AS n FROM s GROUP BY 1"
+    "SELECT count(*) AS total, count(*) FILTER (WHERE g = p) AS correct, count(*) FILTER (WHERE g <> 0 AND p = 0) AS held_when_should_flip, count(*) FILTER (WHERE g = 0 AND p <> 0) AS flipped_when_should_hold, "
+    "count(*) FILTER (WHERE g * p < 0) AS wrong_direction, count(*) FILTER (WHERE g <> p) / count(*) AS error_rate FROM s"
 )
 def state_flips(spark, sf_dir):
     k = F.col("o_orderkey")

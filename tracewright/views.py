@@ -85,12 +85,22 @@ def part_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kind_of(size: Column) -> Column:
+    """Large parts act, the others are acted upon."""
+    return F.when(size > 40, "actor").otherwise("object")
+
+
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity and the roles that it plays in lines, as distinct pairs."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("role")).distinct()
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entities of boxes by brand, with normalised label and tokens."""
     from tracewright.functions import scalars as S
 
     p = table(spark, sf_dir, "part")
-    out = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("box"), F.col("p_name").alias("label"), F.col("p_type").alias("type"), S.normalize_label(F.col("p_name")).alias("norm"))
+    out = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("box"), F.col("p_name").alias("label"), F.col("p_type").alias("type"), S.normalize_label(F.col("p_name")).alias("norm"), kind_of(F.col("p_size")).alias("kind"))
     return out.withColumn("tokens", S.tokens(F.col("norm")))
 
 
