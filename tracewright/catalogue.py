@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tracewright.queries import argument, documents, graph, matching, measures  # noqa: E402,F401
+from tracewright.queries import argument, compose, documents, graph, matching, measures  # noqa: E402,F401

@@ -156,7 +156,7 @@ def combine_faithfulness(verify: Column, agreement: Column, quality: Column, cur
 
 def provisional_reasons(score: Column) -> Column:
     none = F.array().cast("array<string>")
-    return F.when(score.isNull(), F.array(F.lit("faithfulness_unassessed"))).when(score < LOW_FAITHFULNESS, F.array(F.lit("low_faithfulness"))).otherwise(none)
+    return F.when(score.isNull(), F.array(F.lit("unassessed_faithfulness"))).when(score < LOW_FAITHFULNESS, F.array(F.lit("low_faithfulness"))).otherwise(none)
 
 
 def decode_reasons(stored: Column) -> Column:
@@ -189,7 +189,7 @@ def flatten_interest(known: Column, role: Column, stake: Column) -> Column:
 
 def reassess_reasons(reasons: Column, score: Column) -> Column:
     """Replace only the reasons that concern faithfulness."""
-    axis = F.array(F.lit("faithfulness_unassessed"), F.lit("low_faithfulness"))
+    axis = F.array(F.lit("unassessed_faithfulness"), F.lit("low_faithfulness"))
     return F.sort_array(F.array_union(F.array_except(reasons, axis), provisional_reasons(score)))
 
 

@@ -50,3 +50,41 @@ def discard(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def commit_tables(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> int:
+    """Write several tables as one version below ``path``: readers see all of them or none.
+
+    The tables go to a folder of the version's number, and only when all are there is an empty file
+    ``_COMMITTED`` added to it; versions without it are never read. A writer that fails leaves no version;
+    one whose number another writer took first fails.
+    """
+    number = (committed_versions(spark, path) or [0])[-1] + 1
+    files, folder = _path(spark, f"{path}/v{number}")
+    if files.exists(folder):
+        files.delete(folder, True)  # what a writer that failed left
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/v{number}/{name}")
+    _, mark = _path(spark, f"{path}/v{number}/_COMMITTED")
+    if not files.createNewFile(mark):
+        raise RuntimeError(f"version {number} was committed by another writer")
+    return number
+
+
+def committed_versions(spark: SparkSession, path: str) -> list[int]:
+    files, root = _path(spark, path)
+    names = [x.getPath().getName() for x in files.listStatus(root)] if files.exists(root) else []
+    return sorted(int(n[1:]) for n in names if n[0] == "v" and files.exists(_path(spark, f"{path}/{n}/_COMMITTED")[1]))
+
+
+def read_committed(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of the newest version, or of a given one."""
+    versions = committed_versions(spark, path)
+    if not versions or version is not None and version not in versions:
+        raise ValueError(f"no such version below {path}")
+    return spark.read.parquet(f"{path}/v{version or versions[-1]}/{name}")

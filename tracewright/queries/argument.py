@@ -274,14 +274,14 @@ def sensitivity_lub(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EVIDENCE}, r AS (SELECT hypothesis AS node, CASE WHEN part % 5 = 0 THEN 'low_faithfulness' WHEN part % 7 = 0 THEN 'faithfulness_unassessed' END AS reason
+    f"""WITH {EVIDENCE}, r AS (SELECT hypothesis AS node, CASE WHEN part % 5 = 0 THEN 'low_faithfulness' WHEN part % 7 = 0 THEN 'unassessed_faithfulness' END AS reason
   FROM ev)
 SELECT o_orderkey AS node, CASE WHEN count(node) = 0 THEN 'missing_provenance' ELSE coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') END AS reasons
 FROM orders LEFT JOIN r ON o_orderkey = node GROUP BY o_orderkey"""
 )
 def provisional_fold(spark, sf_dir):
     ev = V.evidence(spark, sf_dir)
-    reason = F.when(F.col("part") % 5 == 0, "low_faithfulness").when(F.col("part") % 7 == 0, "faithfulness_unassessed")
+    reason = F.when(F.col("part") % 5 == 0, "low_faithfulness").when(F.col("part") % 7 == 0, "unassessed_faithfulness")
     props = ev.select(F.col("hypothesis").alias("node"), F.array_compact(F.array(reason)).alias("reasons"))
     nodes = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
     return O.provisional_fold(nodes, props).select("node", F.array_join("reasons", ",").alias("reasons"))

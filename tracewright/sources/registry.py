@@ -155,6 +155,87 @@ def load_pack(packs: DataFrame, pack: Pack, valid_from: Column) -> DataFrame:
     return packs.unionByName(row.withColumns({"valid_from": valid_from, "valid_to": F.lit(None).cast("timestamp")}))
 
 
+@dataclass(frozen=True)
+class LoadedPack:
+    """The registry, and what the load adds to the graph: nothing where the pack was there already."""
+
+    packs: DataFrame
+    boxes: DataFrame
+    entities: DataFrame
+    edges: DataFrame
+    actions: DataFrame
+
+
+EDGE_SCHEMA = "src string, dst string, etype string, box string, meronymy string, anchored string, valid_from timestamp"
+
+
+def pack_to_graph(packs: DataFrame, pack: Pack, valid_from: Column) -> LoadedPack:
+    """Load a pack: its box, entities, direct part-of edges and their closure, stamped once.
+
+    The same name and version with the same content adds nothing, so its stamp never moves; other content is
+    an error. A pack is a small hand-made file; its rows come from the driver, its closure from a plan.
+    """
+    spark = packs.sparkSession
+    known = packs.where((F.col("name") == pack.name) & (F.col("version") == pack.version)).limit(1).count() > 0
+    registry = load_pack(packs, pack, valid_from)
+    box = Box(pack.name, pack.tier, pack.source, pack.version, reliability_prior=pack.reliability_prior)
+    boxes = create_boxes(spark.createDataFrame([], BOX_SCHEMA), [box]).withColumns({"content_hash": F.lit(pack.content_hash), "entity_types": F.lit(json.dumps(pack.entity_types, sort_keys=True))})
+    rows = [(e["key"], e["label"], e["type"]) for e in pack.entities]
+    entities = entity_ids(pack, spark.createDataFrame(rows, "key string, label string, type string")).withColumn("box", F.lit(box.id))
+    edges = part_of_edges(pack.edges(spark), entities.select("key", "id"), F.lit(box.id), valid_from)
+    actions = spark.createDataFrame([("pack-loader", "create-box", box.id)], "actor string, action_type string, box string")
+    if known:
+        boxes, entities, edges, actions = (df.where("false") for df in (boxes, entities, edges, actions))
+    return LoadedPack(registry, boxes, entities.select("id", "box", "label", "type"), edges, actions)
+
+
+def part_of_edges(edges: DataFrame, ids: DataFrame, box: Column, valid_from: Column) -> DataFrame:
+    """Direct edges ``(part, whole, meronymy)`` by key, and their closure, as graph edges between ``ids(key, id)``."""
+    if X.has_cycle(edges):
+        raise ValueError("part-of relations form a cycle")
+    closed = X.pack_closure(edges)
+    direct = closed.where("anchored = 'direct'").withColumn("etype", F.lit("DIRECT_PART_OF"))
+    every = direct.unionByName(closed.withColumn("etype", F.lit("PART_OF")))
+    named = every.join(ids.select(F.col("key").alias("part"), F.col("id").alias("src")), "part").join(ids.select(F.col("key").alias("whole"), F.col("id").alias("dst")), "whole")
+    return named.select("src", "dst", "etype", box.alias("box"), "meronymy", "anchored", valid_from.alias("valid_from"))
+
+
+def same_as_edges(pairs: DataFrame, box: Column, valid_from: Column) -> DataFrame:
+    """SAME_AS edges of resolved ``(a, b, score, state)``, from the lesser id to the greater."""
+    ends = [F.least("a", "b").cast("string").alias("src"), F.greatest("a", "b").cast("string").alias("dst")]
+    return pairs.select(*ends, F.lit("SAME_AS").alias("etype"), box.alias("box"), "state", F.col("score").alias("strength"), valid_from.alias("valid_from"))
+
+
+def anchor_edges(anchors: DataFrame, box: Column, valid_from: Column) -> DataFrame:
+    """ANCHORS_TO edges of decided ``(mention, target, score, state)``."""
+    ends = [F.col("mention").cast("string").alias("src"), F.col("target").cast("string").alias("dst")]
+    return anchors.select(*ends, F.lit("ANCHORS_TO").alias("etype"), box.alias("box"), "state", F.col("score").alias("strength"), valid_from.alias("valid_from"))
+
+
+def rebuild_closure(edges: DataFrame, changed: DataFrame, valid_from: Column) -> DataFrame:
+    """All edges with the PART_OF edges of boxes ``changed(box)`` made anew from their direct ones; other boxes keep theirs.
+
+    Boxes are closed in one plan, their nodes told apart by box; edges on or below a cycle stay out.
+    """
+    direct = edges.where("etype = 'DIRECT_PART_OF'").join(changed.select("box").distinct(), "box", "left_semi")
+    end = lambda c: F.to_json(F.struct("box", F.col(c).alias("id")))
+    keyed = direct.select(end("src").alias("part"), end("dst").alias("whole"), "meronymy")
+    paths = X.part_whole_closure(keyed)
+    back = lambda c: F.from_json(c, "box string, id string")
+    made = paths.select(
+        back("part")["id"].alias("src"), back("whole")["id"].alias("dst"), F.lit("PART_OF").alias("etype"), back("part")["box"].alias("box"), F.lit(MERONYMY[0]).alias("meronymy"),
+        F.when(F.col("depth") == 1, "direct").otherwise("rollup").alias("anchored"), valid_from.alias("valid_from"),
+    )
+    kept = edges.where("etype <> 'PART_OF'").unionByName(edges.where("etype = 'PART_OF'").join(changed.select("box").distinct(), "box", "left_anti"))
+    return kept.unionByName(made)
+
+
+def resolve_tier(box_tier: Column, override: Column | None = None) -> Column:
+    """A node's tier: its own where given, else its box's; an unknown one is an error."""
+    tier = box_tier if override is None else F.coalesce(override, box_tier)
+    return F.when(tier.isin(*TIERS), tier).otherwise(F.raise_error(F.concat(F.lit("unknown tier "), tier)).cast("string"))
+
+
 def active_packs(packs: DataFrame) -> DataFrame:
     return packs.where("status = 'active' and valid_to is null")
 
