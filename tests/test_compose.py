@@ -356,3 +356,11 @@ def test_layout_service_retries_what_may_pass(monkeypatch):
         assert len(seen) == 3
     finally:
         server.shutdown()
+
+
+def test_intermediate_tables_lie_in_a_folder_of_their_application(spark):
+    table = storage.materialize(spark.range(3), "probe")
+    assert table._tracewright_path.startswith(storage.run_dir(spark) + "/probe-") and table.count() == 3
+    storage.discard(table)
+    files, gone = storage._path(spark, table._tracewright_path)
+    assert not files.exists(gone)

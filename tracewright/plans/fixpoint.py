@@ -290,10 +290,12 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     last with the edges and drops those known; what is known is written together every eighth round, so a
     round reads a handful of tables however deep the paths are.
     """
-    plain = materialize(edges.select("part", "whole").distinct(), "edges")
+    bounded = max_depth is not None and max_depth <= ONE_PLAN
+    plain = edges.select("part", "whole").distinct() if bounded else materialize(edges.select("part", "whole").distinct(), "edges")
     step = plain.select(F.col("part").alias("whole"), F.col("whole").alias("next"))
-    reach = lambda last: last.join(step, "whole").select("part", F.col("next").alias("whole")).distinct()
-    if max_depth is not None and max_depth <= ONE_PLAN:
+    # Dealt by their new end, paths are made distinct and joined on without being dealt out again.
+    reach = lambda last: last.join(step, "whole").select("part", F.col("next").alias("whole")).repartition("whole").distinct()
+    if bounded:
         levels = [plain]
         for _ in range(max_depth - 1):
             levels.append(reach(levels[-1]))

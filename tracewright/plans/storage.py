@@ -27,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie, apart from those of others."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tracewright_run"):
+        sc._tracewright_run = f"{shared_dir(spark)}/tracewright/run-{uuid.uuid4().hex}"
+    return sc._tracewright_run
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that were not written yet can't be read after."""
+    files, folder = _path(spark, run_dir(spark))
+    files.delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back with the lineage cut."""
     return observed(df, label)[0]
@@ -35,7 +49,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def observed(df: DataFrame, label: str, *aggregates: Column) -> tuple[DataFrame, dict]:
     """As :func:`materialize`, with aggregates of the rows that the write itself takes: no job of their own."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewright/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     seen = Observation() if aggregates else None
     (df.observe(seen, *aggregates) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -47,9 +61,8 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that no later plan reads."""
     path = getattr(df, "_tracewright_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        files, target = _path(df.sparkSession, path)
+        files.delete(target, True)
 
 
 def _path(spark: SparkSession, path: str):
