@@ -50,6 +50,10 @@ def state_key(df: DataFrame, *cols: str) -> tuple:
     return row["n"], row["h"]
 
 
+#: Rounds whose results are written together, so that what a loop has found is a few tables however long it runs.
+TOGETHER = 8
+
+
 def well_founded_support(base: DataFrame, body: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Least fixpoint ``(node, round)`` of Horn rules over base facts.
 
@@ -65,17 +69,23 @@ def well_founded_support(base: DataFrame, body: DataFrame, max_rounds: int = 10_
     state = materialize(left.select("rule", "head", "left"), "rules")
     axioms = state.where("left = 0").select(F.col("head").alias("node")).distinct()
     delta = materialize(facts.union(axioms).withColumn("round", F.lit(0)), "support")
-    rounds = [delta]
+    written, rounds, spent = delta, [], []
     for n in range(1, max_rounds + 1):
         # Rules of a supported head have nothing left to say, so what fires next is new by itself.
         open_rules = state.where("left > 0").join(delta.select(F.col("node").alias("head")), "head", "left_anti")
         met = links.join(delta.select(F.col("node").alias("atom")), "atom").groupBy("rule").agg(F.count("*").alias("met"))
         nxt = open_rules.join(met, "rule", "left").select("rule", "head", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
+        spent.append(state)
         state, seen = observed(nxt, "rules", fired)
         if not seen["fired"]:
-            return reduce(DataFrame.union, rounds)
+            return reduce(DataFrame.union, [written, *rounds])
         delta = state.where("left = 0").select(F.col("head").alias("node"), F.lit(n).alias("round")).distinct()
         rounds.append(delta)
+        if len(rounds) == TOGETHER:
+            written, rounds = materialize(reduce(DataFrame.union, [written, *rounds]), "support"), []
+            for table in spent:
+                discard(table)
+            spent = []
     raise RuntimeError("support did not settle")
 
 
@@ -91,13 +101,16 @@ def support_counts(base: DataFrame, body: DataFrame, supported: DataFrame) -> Da
 def over_delete(gone: DataFrame, body: DataFrame) -> DataFrame:
     """Nodes whose support may rest on ``gone(node)``: heads reached through any rule, transitively."""
     links = materialize(body.select("head", "atom").distinct(), "links")
-    delta = materialize(gone.select("node").distinct(), "deleted")
-    out = [delta]
-    while not delta.isEmpty():
+    count = F.count(F.lit(1)).alias("n")
+    delta, seen = observed(gone.select("node").distinct(), "deleted", count)
+    written, recent = delta, []
+    while seen["n"]:
         heads = links.join(delta.select(F.col("node").alias("atom")), "atom").select(F.col("head").alias("node")).distinct()
-        delta = materialize(heads.join(reduce(DataFrame.union, out), "node", "left_anti"), "deleted")
-        out.append(delta)
-    return reduce(DataFrame.union, out)
+        delta, seen = observed(heads.join(reduce(DataFrame.union, [written, *recent]), "node", "left_anti"), "deleted", count)
+        recent.append(delta)
+        if len(recent) == TOGETHER:
+            written, recent = materialize(reduce(DataFrame.union, [written, *recent]), "deleted"), []
+    return reduce(DataFrame.union, [written, *recent])
 
 
 def maintain_support(held: DataFrame, base: DataFrame, body: DataFrame, new_base: DataFrame, new_body: DataFrame) -> DataFrame:
@@ -312,7 +325,7 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
             break
         recent.append(fresh)
         delta = fresh.select("part", "whole")
-        if len(recent) == 8:
+        if len(recent) == TOGETHER:
             written, recent = materialize(reduce(DataFrame.union, [written, *recent]), "paths"), []
     return reduce(DataFrame.union, [written, *recent])
 

@@ -196,12 +196,15 @@ def citation_mapping(spark, sf_dir):
     return N.cite(answers, chunks).groupBy("question").agg(F.count("*").alias("cited"))
 
 
-@query()
+@query(
+    "SELECT conv_id, turn, 1::INTEGER AS items, true AS ok, sha256(trim(list_last(string_split(rtrim('extract:' || chr(10) || text, ' ' || chr(9) || chr(10) || chr(13)), chr(10))), ' ' || chr(9) || chr(13))) AS item "
+    "FROM conversations WHERE text IS NOT NULL"
+)
 def guided_extraction(spark, sf_dir):
-    """Guided calls to the deterministic stand-in model, parsed to their schema."""
-    c = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("extract:\n"), "text").alias("prompt"))
+    """Guided calls to the deterministic stand-in model, parsed to their schema: the last line of each prompt."""
+    c = V.table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.concat(F.lit("extract:\n"), "text").alias("prompt"))
     from pyspark.sql import types as T
 
     reply = T.StructType([T.StructField("items", T.ArrayType(T.StructType([T.StructField("text", T.StringType())])))])
     out = N.guided_calls(c, "prompt", reply)
-    return out.select("conv_id", "turn", F.size("reply.items").alias("items"), F.col("failure").isNull().alias("ok"))
+    return out.select("conv_id", "turn", F.size("reply.items").alias("items"), F.col("failure").isNull().alias("ok"), F.sha2(F.get("reply.items", 0)["text"], 256).alias("item"))
