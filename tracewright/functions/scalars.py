@@ -71,10 +71,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
 
 
-def cosine_of(dot_ab: Column, norm_a: Column, norm_b: Column) -> Column:
-    return F.when(norm_a * norm_b == 0, F.lit(0.0)).otherwise(dot_ab / (norm_a * norm_b))
-
-
 def uuid5(name: Column, namespace: str | Column = NAMESPACE_URL) -> Column:
     space = F.lit(namespace) if isinstance(namespace, str) else namespace
     h = F.sha1(F.concat(F.unhex(F.replace(space, F.lit("-"), F.lit(""))), F.encode(name, "UTF-8")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.policy import DF_QUAD, GODEL, Semantics, Semiring
+from tracewright.functions.scalars import is_transitive
 from tracewright.plans.storage import discard, materialize, observed
 
 
@@ -332,17 +333,17 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 def part_whole_closure(edges: DataFrame) -> DataFrame:
     """Cycle-safe ``(part, whole, depth)`` over component-integral edges."""
-    return closure(acyclic_edges(edges.where("meronymy = 'component-integral'")))
+    return closure(acyclic_edges(edges.where(is_transitive(F.col("meronymy")))))
 
 
 def pack_closure(edges: DataFrame) -> DataFrame:
     """All direct edges of any kind, and rollups of two steps and more over component-integral ones that aren't direct."""
     direct = edges.select("part", "whole", "meronymy").distinct().withColumn("anchored", F.lit("direct"))
-    rolled = closure(edges.where("meronymy = 'component-integral'")).where("depth > 1").join(direct.select("part", "whole"), ["part", "whole"], "left_anti")
+    rolled = closure(edges.where(is_transitive(F.col("meronymy")))).where("depth > 1").join(direct.select("part", "whole"), ["part", "whole"], "left_anti")
     return direct.unionByName(rolled.select("part", "whole", F.lit("component-integral").alias("meronymy"), F.lit("rollup").alias("anchored")))
 
 
 def has_cycle(edges: DataFrame) -> bool:
     """Whether some component-integral edge touches a cycle."""
-    mine = edges.where("meronymy = 'component-integral'").select("part", "whole").distinct()
+    mine = edges.where(is_transitive(F.col("meronymy"))).select("part", "whole").distinct()
     return not mine.join(acyclic_edges(mine), ["part", "whole"], "left_anti").isEmpty()
