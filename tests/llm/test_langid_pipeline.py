@@ -71,7 +71,8 @@ def test_scores_are_those_of_centroids_worked_out_anew(spark, sf):
         for at in range(20):
             apart = sorted(abs(sizes - at))
             reach = max(1, apart[min(langid.REJECT_ROWS, len(apart)) - 1])
-            least[lang, at] = langid.REJECT_SHARE * np.quantile(cosines[abs(sizes - at) <= reach], langid.REJECT_QUANTILE)
+            near = [c * langid.SHORTER ** max(0, n - at) for c, n in zip(cosines, sizes) if abs(n - at) <= reach]
+            least[lang, at] = langid.REJECT_SHARE * np.quantile(near, langid.REJECT_QUANTILE)
         for c in sorted(set(member)):
             centres.append(found[c])
             owner.append(lang)

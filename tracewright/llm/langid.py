@@ -24,8 +24,9 @@ CENTROIDS, ROUNDS = 4, 12
 #: The bound of the labelled sample that the centroids are fitted on; every language has LEAST_ROWS of it at least.
 SAMPLE_ROWS, LEAST_ROWS = 2000, 4
 #: A text is rejected below REJECT_SHARE of the cosine that all but REJECT_QUANTILE of the sample of its language
-#: and length reach. Lengths are powers of two; one with fewer than REJECT_ROWS rows takes in its neighbours.
-REJECT_SHARE, REJECT_QUANTILE, REJECT_ROWS = 0.6, 0.01, 40
+#: and length reach. Lengths are powers of two; one with fewer than REJECT_ROWS rows takes in its neighbours, longer
+#: ones at SHORTER of their cosine for each halving, as shorter texts lie farther out.
+REJECT_SHARE, REJECT_QUANTILE, REJECT_ROWS, SHORTER = 0.6, 0.01, 40, 0.7
 LENGTHS = 64
 UNKNOWN = "und"
 _SPACE = 32
@@ -109,8 +110,8 @@ def least_cosines(cosines: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     least = np.zeros(LENGTHS)
     for at in range(LENGTHS):
         apart = np.abs(lengths - at)
-        near = cosines[apart <= max(1, np.sort(apart)[min(REJECT_ROWS, len(apart)) - 1])]
-        least[at] = REJECT_SHARE * np.quantile(near, REJECT_QUANTILE)
+        near = apart <= max(1, np.sort(apart)[min(REJECT_ROWS, len(apart)) - 1])
+        least[at] = REJECT_SHARE * np.quantile(cosines[near] * SHORTER ** np.maximum(0, lengths[near] - at), REJECT_QUANTILE)
     return least
 
 
