@@ -358,6 +358,49 @@ def test_layout_service_retries_what_may_pass(monkeypatch):
         server.shutdown()
 
 
+def test_embedding_service(spark):
+    """Passages and windowed token vectors of a stub service; a wrong model, count or length is refused."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/embed":
+                reply = [[len(t), 1] for t in asked["inputs"] if t != "lost"]
+            else:
+                words = asked["text"].split()
+                size, step = asked["window_tokens"], asked["window_tokens"] - asked["overlap_tokens"]
+                starts = range(0, max(1, len(words) - asked["overlap_tokens"]), step)
+                spans = [[[3 * (k + j), 3 * (k + j) + 2] for j in range(len(words[k : k + size]))] for k in starts]
+                reply = {"model_version": "m1", "offsets": spans, "embeddings": [[[a, b] for a, b in w] for w in spans]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        embed = D.make_embedder(url, 2)
+        assert embed(["abc", None]) == [[3.0, 1.0], [0.0, 1.0]] and embed([]) == []
+        for texts, size in ((["a", "lost"], 2), (["a"], 3)):
+            with pytest.raises(ValueError, match="must answer"):
+                D.make_embedder(url, size)(texts)
+        assert len(D.make_embedder("", 8)(["one two"])[0]) == 8
+        docs = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, ""), (3, None), (4, "aa")], "doc_id long, text string")
+        rows = D.token_vectors(docs, url, "m1", window=3, overlap=1).orderBy("doc_id", "window", "token").collect()
+        assert [(r.doc_id, r.window, r.token, r.start) for r in rows] == [(1, 0, 0, 0), (1, 0, 1, 3), (1, 0, 2, 6), (1, 1, 0, 6), (1, 1, 1, 9), (1, 1, 2, 12), (4, 0, 0, 0)]
+        assert all(list(r.vector) == [r.start, r.end] for r in rows)
+        with pytest.raises(Exception, match="not with m2"):
+            D.token_vectors(docs, url, "m2").collect()
+    finally:
+        server.shutdown()
+
+
 def test_intermediate_tables_lie_in_a_folder_of_their_application(spark):
     table = storage.materialize(spark.range(3), "probe")
     assert table._tracewright_path.startswith(storage.run_dir(spark) + "/probe-") and table.count() == 3
