@@ -100,8 +100,9 @@ def test_tiles_and_blocks_lose_no_pair(spark, monkeypatch):
             texts[n := n + 1] = " ".join(copy)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = survivors(texts)
-    for least, rows in ((2048, 512), (7, 4)):
+    for least, rows, most in ((2048, 512, 1 << 15), (7, 4, 1 << 15), (7, 512, 2)):
         monkeypatch.setattr(near_copies, "TILE_LEAST", least)
+        monkeypatch.setattr(near_copies, "BLOCK_MOST", most)
         monkeypatch.setattr(near_copies, "BLOCK_ROWS", rows)
         assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == want
 

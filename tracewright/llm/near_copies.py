@@ -34,8 +34,8 @@ WORDS, RADIUS = 4, 72
 CELL = 1.2501
 #: Rows in a comparison tile: a 64th of all, within these bounds of what a task holds.
 TILE_SHARE, TILE_LEAST, TILE_MOST = 64, 2048, 1 << 17
-#: A group is split into blocks of so many rows, up to so many blocks, and of so many shingles at most.
-BLOCK_ROWS, BLOCK_SPLIT, BLOCK_SHINGLES = 512, 8, 1 << 22
+#: A group is split into blocks of so many rows, up to so many blocks; beyond these a block has at most so many rows and shingles.
+BLOCK_ROWS, BLOCK_SPLIT, BLOCK_MOST, BLOCK_SHINGLES = 512, 8, 1 << 15, 1 << 22
 CACHED_WORDS = 200_000
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, max(SHINGLE, WORDS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT, _SPREAD = np.uint64(32), np.uint64(0xD6E8FEB86659FD93)
@@ -237,7 +237,8 @@ def confirm(df: DataFrame, marks: DataFrame, roots: DataFrame, id_col: str, text
     picks = marks.join(nodes, "fp").groupBy("fp").agg(F.min(F.struct("id", "text_key")).alias("row"), F.first("root").alias("root"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     picks = materialize(picks.select("fp", "row.id", "row.text_key", "root", "n", "bits"), "picks")
     split = F.least(F.lit(BLOCK_SPLIT), F.ceil(F.count("*") / BLOCK_ROWS))
-    shares = picks.groupBy("root").agg(F.greatest(split, F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    bounds = F.ceil(F.count("*") / BLOCK_MOST), F.ceil(F.sum("n") / BLOCK_SHINGLES)
+    shares = picks.groupBy("root").agg(F.greatest(split, *bounds).cast("int").alias("blocks"))
     picks = materialize(picks.join(materialize(shares, "shares"), "root"), "placed")
     texts = df.select(_id_key(id_col), _text_key(text_col), F.encode(F.col(text_col), "UTF-8").alias("text"))
     keys = picks.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "fp", "root", "blocks", "bits")
