@@ -290,6 +290,31 @@ def test_permutations_invert(seed, n):
     assert order == K.content_permutation(seed, n)
 
 
+def test_leaders_of_many_blocks_are_those_of_one_by_one():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((1300, 8))
+    v[::9] = v[0]
+    unit, openers, want = v / np.linalg.norm(v, axis=1, keepdims=True), [], []
+    for x in unit:
+        near = [k for k, o in enumerate(openers) if o @ x >= 0.7]
+        want.append(near[0] if near else len(openers))
+        openers += [] if near else [x]
+    assert K.leaders(v, 0.7) == want and len(openers) > 100
+
+
+def test_twins_are_found_without_pairs(spark, monkeypatch):
+    """Every pair of clusters by hand; no join with the other side's vectors is left."""
+    rng = np.random.default_rng(4)
+    rows = [(k % 2, "ab"[k % 3 % 2], "observation", k % 5, k, rng.standard_normal(3).tolist()) for k in range(60)] + [(9, "a", "observation", 0, 99, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "label int, polarity string, epistemic_class string, sample int, position long, vector array<double>")
+    monkeypatch.setattr(S, "cosine", None)
+    got = K.consolidate(frame, ["label"], 5, 0.9).collect()
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1)
+    for r in got:
+        assert r.twin == any(o.label == r.label and o.polarity != r.polarity and cos(o.vector, r.vector) >= 0.9 for o in got)
+    assert {r.twin for r in got} == {True, False}
+
+
 def test_leaders_open_clusters_in_order():
     v = np.array([[1, 0], [0.9, 0.1], [0, 1], [1, 0.05], [0.5, 0.5]])
     assert K.leaders(v, 0.95) == [0, 0, 1, 0, 2]

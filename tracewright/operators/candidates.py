@@ -49,7 +49,7 @@ def _vectors(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes[order], keys[order], np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)[order]
 
 
-def _nearest(queries: DataFrame, rows: DataFrame, k: int, merge: bool, with_self: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, merge: bool, with_self: bool = False) -> DataFrame:
     """Rows ``(hypothesis, query, evidence, similarity)``: of each block pair the ``k`` nearest, ties by evidence.
 
     A block of queries is multiplied with a block of rows and only the nearest leave the task: k rows a query
@@ -98,7 +98,7 @@ def knn_candidates(hypotheses: DataFrame, evidence: DataFrame, k: int = 10, min_
     Sides are ``(node, model, vector)`` with any number of vectors a node; only vectors of one model are
     compared and a pair of nodes counts by its best two. Hypotheses are the stated queries against all rows.
     """
-    best = _nearest(hypotheses, evidence, k, True).groupBy("evidence", "hypothesis").agg(F.max("similarity").alias("similarity"))
+    best = nearest(hypotheses, evidence, k, True).groupBy("evidence", "hypothesis").agg(F.max("similarity").alias("similarity"))
     return _ranked(best if min_similarity is None else best.where(F.col("similarity") >= min_similarity)).where(F.col("rank") <= k)
 
 
@@ -108,7 +108,7 @@ def knn_pushdown(hypotheses: DataFrame, evidence: DataFrame, k: int = 10) -> Dat
     Where nodes have several vectors fewer than ``k`` nodes may be left of a vector, and more of a node.
     """
     turn = Window.partitionBy("hypothesis", "query").orderBy(F.desc("similarity"), "evidence")
-    near = _nearest(hypotheses, evidence, k, False).withColumn("r", F.row_number().over(turn)).where(F.col("r") <= k)
+    near = nearest(hypotheses, evidence, k, False).withColumn("r", F.row_number().over(turn)).where(F.col("r") <= k)
     return _ranked(near.groupBy("evidence", "hypothesis").agg(F.max("similarity").alias("similarity")))
 
 
@@ -143,7 +143,7 @@ def retrieve_topk(chunks: DataFrame, queries: DataFrame, k: int = 8, model: str
     """``(query, chunk, distance)`` of the ``k`` chunks ``(chunk, vector, …)`` nearest to each of ``queries(query, vector)``."""
     rows = chunks if model is None else chunks.where(F.col("model") == model)
     side = lambda df, name: df.select(F.col(name).alias("node"), F.lit("").alias("model"), "vector")
-    near = _nearest(side(queries, "query"), side(rows, "chunk"), k, True, with_self=True)
+    near = nearest(side(queries, "query"), side(rows, "chunk"), k, True, with_self=True)
     order = Window.partitionBy("hypothesis").orderBy(F.desc("similarity"), "evidence")
     near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return near.select(F.col("hypothesis").alias("query"), F.col("evidence").alias("chunk"), (1 - F.col("similarity")).alias("distance"))

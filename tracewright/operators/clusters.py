@@ -8,29 +8,52 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions import scalars as S
+from tracewright.operators.candidates import nearest
 from tracewright.plans.shipping import ship_package
+from tracewright.plans.storage import materialize
 
 THRESHOLD = 0.86
 
 
+#: Rows that are compared with all openers before them at once.
+BLOCK = 512
+
+
 def leaders(vectors: np.ndarray, threshold: float) -> list[int]:
-    """Cluster number of each row in order: the first cluster whose opener is near enough, else a new one."""
+    """Cluster number of each row in order: the first cluster whose opener is near enough, else a new one.
+
+    A block of rows meets the openers before it in one product; only rows that none of these takes are then
+    looked at one by one, against the openers of their own block.
+    """
     unit = vectors / np.where((n := np.linalg.norm(vectors, axis=1, keepdims=True)) > 0, n, 1)
-    openers: list[int] = []
-    out = []
-    for i in range(len(unit)):
-        near = np.nonzero(unit[openers] @ unit[i] >= threshold)[0] if openers else ()
-        if len(near):
-            out.append(int(near[0]))
-        else:
-            out.append(len(openers))
-            openers.append(i)
-    return out
+    openers, held = np.empty_like(unit), 0
+    out = np.empty(len(unit), np.int64)
+    for at in range(0, len(unit), BLOCK):
+        block = unit[at : at + BLOCK]
+        found = np.full(len(block), -1)
+        for start in range(0, held, 16 * BLOCK):
+            rest = np.nonzero(found < 0)[0]
+            near = block[rest] @ openers[start : min(held, start + 16 * BLOCK)].T >= threshold
+            hit = near.any(axis=1)
+            found[rest[hit]] = start + near[hit].argmax(axis=1)
+        rest, before = np.nonzero(found < 0)[0], held
+        own = block[rest] @ block[rest].T >= threshold
+        opened: list[int] = []
+        for i, row in enumerate(rest):
+            near = np.nonzero(own[i, opened])[0] if opened else ()
+            if len(near):
+                found[row] = before + near[0]
+            else:
+                found[row], openers[held] = held, block[row]
+                held += 1
+                opened.append(i)
+        out[at : at + BLOCK] = found
+    return out.tolist()
 
 
 def leader_clusters(rows: DataFrame, group: list[str], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -74,10 +97,25 @@ def consolidate(samples: DataFrame, group: list[str], n_samples: int, threshold:
     parts = [*group, "polarity", "epistemic_class"]
     clustered = leader_clusters(samples, parts, ["sample", "position"], threshold)
     canon = medoids(clustered, parts, ["sample", "position"]).join(agreement(clustered, parts, n_samples), [*parts, "cluster"])
-    other = canon.select(*group, F.col("polarity").alias("other"), F.col("vector").alias("other_vector"))
-    twins = canon.join(other, group).where((F.col("polarity") != F.col("other")) & (S.cosine(F.col("vector"), F.col("other_vector")) >= threshold))
-    marks = twins.select(*parts, "cluster").distinct().withColumn("twin", F.lit(True))
-    return canon.join(marks, [*parts, "cluster"], "left").fillna(False, ["twin"])
+    canon = materialize(canon, "canon")
+    marks = _twins(canon, group, parts, threshold).withColumn("twin", F.lit(True))
+    keyed = canon.withColumn("__node", _node(parts))
+    return keyed.join(marks, "__node", "left").drop("__node").fillna(False, ["twin"])
+
+
+def _node(parts: list[str]) -> Column:
+    return F.to_json(F.struct(*parts, "cluster"))
+
+
+def _twins(canon: DataFrame, group: list[str], parts: list[str], threshold: float) -> DataFrame:
+    """``(__node)`` of clusters that come near to one of another polarity in their group, by products of blocks: pairs are never made."""
+    known = canon.where(" and ".join(f"`{c}` is not null" for c in (*group, "polarity")))
+    place = lambda polarity: F.to_json(F.struct(*group, F.col(polarity).alias("polarity")))
+    others = known.select(*group, F.col("polarity").alias("__other")).distinct()
+    asked = known.join(others, group).where("polarity <> __other")
+    side = lambda df, polarity: df.select(_node(parts).alias("node"), place(polarity).alias("model"), "vector")
+    near = nearest(side(asked, "__other"), side(known, "polarity"), 1, False)
+    return near.where(F.col("similarity") >= threshold).select(F.col("hypothesis").alias("__node")).distinct()
 
 
 def claim_keys(propositions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
