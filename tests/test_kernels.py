@@ -315,6 +315,29 @@ def test_twins_are_found_without_pairs(spark, monkeypatch):
     assert {r.twin for r in got} == {True, False}
 
 
+def test_documents_are_segmented_over_batches_without_a_call_for_each(spark):
+    rng = np.random.default_rng(5)
+    sizes = {"a": 1, "b": 70, "c": 3, "d": 40, "e": 2}
+    rows = [(d, k, rng.standard_normal(4).tolist() if d != "e" and (d, k) != ("c", 1) else None, float(k % 3), k % 11 == 4) for d, n in sizes.items() for k in range(n)]
+    levels = X.level_policy()
+    got = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        out = X.segment_documents(spark.createDataFrame(rows, "doc string, position int, vector array<double>, density double, valley boolean"), levels)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        for r in out.collect():
+            got.setdefault((r.doc, r.level), []).append((r.start, r.end))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {("e", levels[0].level): [(0, 2)]}
+    for d in "abcd":
+        mine = [r for r in rows if r[0] == d]
+        vectors = np.array([r[2] or [0.0] * 4 for r in mine])
+        for x in levels:
+            want[d, x.level] = X.segment(vectors, np.array([r[3] for r in mine]), [r[1] for r in mine if r[4]], x)
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_leaders_open_clusters_in_order():
     v = np.array([[1, 0], [0.9, 0.1], [0, 1], [1, 0.05], [0.5, 0.5]])
     assert K.leaders(v, 0.95) == [0, 0, 1, 0, 2]
