@@ -10,7 +10,6 @@ from tracewright.functions import scalars as S
 from tracewright.operators import adjudicate as A
 from tracewright.operators import provenance as O
 from tracewright.plans import fixpoint as X
-from tracewright.plans.storage import materialize
 
 EVIDENCE = """ev AS (
   SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey AS fact, l_orderkey AS hypothesis, l_partkey AS part, l_suppkey AS box,
@@ -120,12 +119,16 @@ GATE = (
 )
 
 
-def _panel(spark, sf_dir):
+def _heard(rows, spark, sf_dir):
+    """Adds what the language and symbolic channels say of each hypothesis."""
     llm = A.llm_channel(A.tally(votes(spark, sf_dir)))
     k = F.col("hypothesis") % 3
     symbolic = F.when(k == 0, "affirm").when(k == 1, "abstain").otherwise("dissent")
-    out = verdicts(spark, sf_dir).select("hypothesis", "acceptability", "state").join(llm, "hypothesis", "left")
-    return A.authorise_panel(out.withColumns({"llm": F.coalesce("llm", F.lit("abstain")), "symbolic": symbolic}))
+    return rows.join(llm, "hypothesis", "left").withColumns({"llm": F.coalesce("llm", F.lit("abstain")), "symbolic": symbolic})
+
+
+def _panel(spark, sf_dir):
+    return A.authorise_panel(_heard(verdicts(spark, sf_dir).select("hypothesis", "acceptability", "state"), spark, sf_dir))
 
 
 @query(GATE + "SELECT hypothesis, llm, symbolic, reasons = '' AS authorised, reasons FROM gate")
@@ -227,18 +230,31 @@ def opinion_fusion_averaging(spark, sf_dir):
     return _fused(spark, sf_dir, P.averaging_fuse)
 
 
+def _customers_apart(spark, sf_dir):
+    """Whether each order is one customer's and each line names its order, part and supplier, so that no node is two customers'."""
+    orders = V.table(spark, sf_dir, "orders").where("o_orderkey is not null").groupBy("o_orderkey")
+    region = V.region_of(F.col("o_custkey"))
+    shared = orders.agg(F.min(region).alias("a"), F.max(region).alias("b")).where("a <> b")
+    vague = V.table(spark, sf_dir, "lineitem").where("l_orderkey is null or l_partkey is null or l_suppkey is null")
+    return vague.isEmpty() and shared.isEmpty()
+
+
 @query()
 def revision_fixpoint(spark, sf_dir):
-    """The revision loop over all derivations: what is left standing once refutations are carried through."""
-    base, body = (materialize(df, "revision") for df in V.derivations(spark, sf_dir))
+    """The revision loop over all derivations: what is left standing once refutations are carried through.
+
+    Rules and evidence stay within a customer's orders, so customers are the regions. Facts are given sources.
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    apart = _customers_apart(spark, sf_dir)
+    region = ["region"] if apart else []
+    base, body = V.derivations(spark, sf_dir, regions=apart)
     ev = V.evidence(spark, sf_dir)
-    hyps = V.hypotheses(spark, sf_dir)
-    facts = ev.select(F.col("fact").alias("node"), F.col("base").alias("confidence"))
-    grounded = base.select(F.col("node").cast("string").alias("node"), "confidence").union(facts)
-    rules = body.select(*[F.col(c).cast("string").alias(c) for c in ("rule", "head", "atom")], "strength")
-    hyp = hyps.select(F.col("hypothesis").cast("string").alias("hypothesis"), "base")
-    edges = ev.select(F.col("fact").alias("src"), F.col("hypothesis").cast("string").alias("dst"), "sign", "strength")
-    gate = _panel(spark, sf_dir).select(F.col("hypothesis").cast("string").alias("hypothesis"), "llm", "symbolic")
+    grounded = base.select(text("node"), "confidence", *region)
+    rules = body.select(text("rule"), text("head"), text("atom"), "strength", *region)
+    hyp = V.hypotheses(spark, sf_dir, regions=apart).withColumn("hypothesis", text("hypothesis"))
+    edges = ev.select(F.col("fact").alias("src"), F.col("hypothesis").cast("string").alias("dst"), "sign", "strength", F.col("base").alias("sigma"))
+    gate = _heard(V.hypotheses(spark, sf_dir).select("hypothesis"), spark, sf_dir).select(text("hypothesis"), "llm", "symbolic")
     out = A.revise(grounded, rules, hyp, edges, gate)
     return out.verdicts.groupBy("state").agg(F.count("*").alias("hypotheses"), F.round(F.avg("acceptability"), 6).alias("mean_acceptability"))
 
